@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.cutoffs import submission_cutoffs
 from quillmark.llm.groups import linked_groups
+from quillmark.llm.leaks import leaking_documents
 from quillmark.llm.setpairs import submission_pairs
 from quillmark.sources.tables import table
 
@@ -22,7 +23,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission_cutoffs(table(spark, sf_dir, "submissions"), table(spark, sf_dir, "class_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 
 SQL = {
     "p3_found": r"""
