@@ -8,6 +8,7 @@ from quillmark.llm.cutoffs import submission_cutoffs
 from quillmark.llm.groups import linked_groups
 from quillmark.llm.leaks import leaking_documents
 from quillmark.llm.setpairs import submission_pairs
+from quillmark.llm.stuffing import stuffed_documents
 from quillmark.sources.tables import table
 
 
@@ -27,7 +28,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found}
 
 SQL = {
     "p3_found": r"""
