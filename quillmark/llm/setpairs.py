@@ -8,9 +8,10 @@ if their codes lie within the radius, and are then compared value by value.
 
 Calibration: the number of segments is the least for which a pair at the threshold itself meets with
 probability ``recall`` or more, and the radius the least that keeps such a pair with probability
-1 - (1 - recall) / 4.  Pairs above the threshold are found more often.  A longer ``segment_bits`` means
-fewer chance meetings and more segments; 14 bits suit up to some ten million sets, for more add
-a bit for each doubling beyond.
+1 - (1 - recall) / 10.  Two sets of given sizes can't have every similarity: the least one at or above the
+threshold sets their radius, so that small sets just below the threshold are kept out.  Pairs above the
+threshold are found more often.  A longer ``segment_bits`` means fewer chance meetings and more segments;
+13 bits suit up to some five million sets, for more add a bit for each doubling beyond.
 
 Equal sets are one class: classes meet in the index, members are joined back at the end.  So a set shared
 by a third of the records makes no hot bucket.
@@ -43,7 +44,7 @@ def segment_count(threshold: float, recall: float, segment_bits: int) -> int:
 
 
 def hamming_radius(threshold: float, recall: float, bits: int = CODE_BITS) -> int:
-    p, want, total = (1 - threshold) / 2, 1 - (1 - recall) / 4, 0.0
+    p, want, total = (1 - threshold) / 2, 1 - (1 - recall) / 10, 0.0
     for r in range(bits + 1):
         total += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
         if total >= want:
@@ -113,8 +114,8 @@ def similar_pairs(
     fields: Sequence[str],
     threshold: float = 0.6,
     min_size: int = 3,
-    recall: float = 0.98,
-    segment_bits: int = 14,
+    recall: float = 0.97,
+    segment_bits: int = 13,
 ) -> DataFrame:
     """(field_name, a_<ident>, b_<ident>, similarity) with a < b, for each of ``fields`` by itself.
 
@@ -123,7 +124,11 @@ def similar_pairs(
     segments = segment_count(threshold, recall, segment_bits)
     if len(fields) * segments << segment_bits > 2**31:
         raise ValueError("too many fields or too long segments for 32-bit keys")
-    radius = hamming_radius(threshold, recall)
+    # The radius for the least similarity from the threshold up that sets of these sizes can have, in steps of 0.01.
+    radii = F.array(*[F.lit(hamming_radius(max(threshold, k / 100), recall)) for k in range(101)])
+    sizes = F.col("a.n") + F.col("b.n")
+    needed = F.ceil(threshold / (1 + threshold) * sizes - 1e-9)
+    radius = F.get(radii, F.floor(100 * needed / (sizes - needed) + 1e-9).cast("int"))
     members = materialise(value_sets(records, ident, fields, min_size), "sets")
     classes = materialise(members.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("field_no", "n", "vals")]), "classes")
 
