@@ -7,11 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm.cutoffs import submission_cutoffs
 from quillmark.llm.groups import linked_groups
 from quillmark.llm.leaks import leaking_documents
+from quillmark.llm.mixing import mixed, shares
+from quillmark.llm.pii import personal_data, redacted_texts
 from quillmark.llm.setpairs import submission_pairs
 from quillmark.llm.stuffing import stuffed_documents
 from quillmark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "drafts"), table(spark, sf_dir, "vision"))
+
+
+def p1_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_texts(table(spark, sf_dir, "drafts"), table(spark, sf_dir, "vision"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission_pairs(table(spark, sf_dir, "assets"))
 
@@ -28,11 +38,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return shares(mixed(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_redact, p2_found, p3_found, p4_found, p6_found, p7_mix, p7_shares, p8_found)
+}
 
 SQL = {
     "p3_found": r"""
