@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmark.plans import corpus, rankings
+from quillmark.plans import assets, corpus, rankings
 
-MODULES = [corpus, rankings]
+MODULES = [corpus, rankings, assets]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
