@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmark.plans import assets, corpus, pairs, rankings
+from quillmark.plans import assets, corpus, pairs, rankings, texts
 
-MODULES = [corpus, rankings, assets, pairs]
+MODULES = [corpus, rankings, assets, pairs, texts]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
