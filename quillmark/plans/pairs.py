@@ -73,7 +73,7 @@ def earliest_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by verdict and where it came from."""
     p = table(spark, sf_dir, "advanced_pairs")
-    return p.groupBy("verdict").pivot("verdict_source", ["algorithm", "manual", "mimo-vision"]).count().na.fill(0).toDF("verdict", "algorithm", "manual", "vision")
+    return p.groupBy("verdict", "verdict_source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("decision_reason").alias("reasons"))
 
 
 def verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +238,7 @@ select me work_answer_id, other source, epoch_ms(o.collected_at) source_ms from
 join last m on m.work_answer_id = me join last o on o.work_answer_id = other
 where verdict = 'confirmed' and o.collected_at <= m.collected_at
 qualify row_number() over (partition by me order by o.collected_at, strength desc, other) = 1""",
-    "verdict_counts": """select verdict, count(*) filter (verdict_source = 'algorithm') algorithm, count(*) filter (verdict_source = 'manual') manual,
-  count(*) filter (verdict_source = 'mimo-vision') vision from advanced_pairs group by 1""",
+    "verdict_counts": "select verdict, verdict_source, count(*) n, count(distinct decision_reason) reasons from advanced_pairs group by 1, 2",
     "verdict_cascade": """
 with x as (select verdict, coalesce(exact_object or exact_file, false) exact, coalesce(image_hash_similarity, 0) h, coalesce(evidence_similarity, 0) ev,
   coalesce(sift_inliers, 0) si, coalesce(sift_ratio, 0) sr, coalesce(sift_coverage, 0) sc,
