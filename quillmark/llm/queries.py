@@ -56,10 +56,18 @@ QUERIES = {
     for f in (p1_found, p1_redact, p2_found, p3_found, p4_found, p6_found, p7_mix, p7_shares, p8_found)
 }
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇") + "　"
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇") + " "
+
+
+def _narrow(column: str) -> str:
+    return f"translate({column}, '{_WIDE}', '{_PLAIN}')"
+
+
 SQL = {
     "p3_found": r"""
 with recursive pieces as (
-  select trim(a_work_answer_id) a, trim(b_work_answer_id) b
+  select regexp_replace(a_work_answer_id, '^\s+|\s+$', '', 'g') a, regexp_replace(b_work_answer_id, '^\s+|\s+$', '', 'g') b
   from advanced_pairs
   where len(list_filter(string_split(exact_shared, ';'),
         lambda x: trim(x) <> '' and not regexp_full_match(lower(trim(x)), 'image_[0-9]+'))) > 0),
@@ -70,5 +78,15 @@ reach(work_answer_id, other) as (
   union
   select r.work_answer_id, e.b from reach r join edges e on r.other = e.a)
 select work_answer_id, least(work_answer_id, min(other)) as group_id from reach group by work_answer_id
+""",
+    "p6_found": rf"""
+with d as (select doc_id, regexp_replace(lower({_narrow("text")}), '[^\p{{L}}\p{{N}}]+', '', 'g') t from documents),
+w as (select item_id, lang, regexp_split_to_array(trim(regexp_replace(lower({_narrow("passage")}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') x from eval_items),
+r as (
+  select item_id, list_transform(range(1, len(x) - 10), lambda i: array_to_string(x[i:i + 11], '')) runs from w where lang = 'en'
+  union all
+  select item_id, list_transform(range(1, length(array_to_string(x, '')) - 22), lambda i: substr(array_to_string(x, ''), i, 24)) from w where lang = 'zh'),
+u as (select item_id, unnest(runs) run from r)
+select distinct doc_id, item_id from d, u where contains(t, run)
 """,
 }

@@ -171,7 +171,7 @@ def asset_values(assets: DataFrame) -> DataFrame:
     """work_answer_id, object_id and sha256 of the downloaded assets: trimmed, in lower case, null for no value."""
 
     def real(name: str):
-        bare = F.lower(F.trim(name))
+        bare = F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
         return F.when((bare != "") & ~bare.rlike(r"^image_\d+$"), bare).alias(name)
 
     return assets.where("ok").select("work_answer_id", real("object_id"), real("sha256"))
