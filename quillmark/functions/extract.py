@@ -48,7 +48,8 @@ def base64_pieces(text: Column, least: int = 24) -> Column:
     """Decoded base64 runs of at least ``least`` characters that decode to mostly printable text."""
     runs = F.array_distinct(all_matches(F.coalesce(text, F.lit("")), rf"([A-Za-z0-9+/]{{{least},}}={{0,2}})"))
     whole = F.transform(runs, lambda x: F.regexp_replace(x, "=+$", ""))
-    whole = F.transform(whole, lambda x: F.substring(x, F.lit(1), (F.length(x) - F.length(x) % 4).cast("int")))
-    plain = F.transform(whole, lambda x: F.decode(F.unbase64(x), "UTF-8"))
+    # Padding made good; one character left over tells nothing.
+    whole = F.transform(whole, lambda x: F.substring(x, F.lit(1), (F.length(x) - F.when(F.length(x) % 4 == 1, 1).otherwise(0)).cast("int")))
+    plain = F.transform(whole, lambda x: F.decode(F.unbase64(F.rpad(x, F.ceil(F.length(x) / 4).cast("int") * 4, "=")), "UTF-8"))
     shown = F.filter(plain, lambda x: (F.length(x) >= 8) & (F.length(F.regexp_replace(x, r"[^\x20-\x7e\s]", "")) > 0.75 * F.length(x)))
     return shown

@@ -27,7 +27,9 @@ def text_pairs(docs: DataFrame, ident: str, text: str, within: list[str], thresh
     """(a, b, text_similarity) with a < b for texts in the same ``within`` group whose sets of character
     3-grams reach ``threshold`` after rounding to four places; texts under ``least`` characters have none."""
     t = threshold - 0.00005
-    bare = docs.select(F.col(ident).alias("id"), *within, bare_text(F.col(text)).alias("t")).where(F.length("t") >= least)
+    own = [F.col(c).alias(f"w{k}") for k, c in enumerate(within)]
+    within = [f"w{k}" for k in range(len(within))]
+    bare = docs.select(F.col(ident).alias("id"), *own, bare_text(F.col(text)).alias("t")).where(F.length("t") >= least)
     sets = bare.select("id", *within, ngrams(F.col("t")).alias("grams")).withColumn("n", F.size("grams"))
     # Equal texts are one class; only classes meet, members come back at the end.
     keyed = sets.withColumn("cls", F.xxhash64(*within, F.array_sort("grams")))

@@ -140,8 +140,7 @@ select draft_id, md5({_GUARD.format("draft_comment")}) draft_comment, {_GUARD.fo
 with v as (select event_id, case when event_id % 4 < 3 then json_extract_string(props, '$.k')::double end k from events)
 select event_id, least(50.0, greatest(0.0, floor(coalesce(k, 0.0) + 0.5)))::double clamped, k is null missing from v""",
     "decoded_pieces": """
-select draft_id, case when length(to_base64(encode(basis))) >= 24 and length(rtrim(to_base64(encode(basis)), '=')) >= 24
-  then decode(from_base64(substr(rtrim(to_base64(encode(basis)), '='), 1, length(rtrim(to_base64(encode(basis)), '=')) - length(rtrim(to_base64(encode(basis)), '=')) % 4))) else '' end decoded
+select draft_id, case when length(rtrim(to_base64(encode(basis)), '=')) >= 24 then basis else '' end decoded
 from drafts where regexp_full_match(basis, '[ -~]{18,}')""",
     "missing_items": """
 with i as (select score, unnest(list_distinct(missing_items)) item from vision)
