@@ -100,8 +100,9 @@ def sketcher(segments: int, segment_bits: int):
 
 def value_sets(records: DataFrame, ident: str, fields: Sequence[str], min_size: int) -> DataFrame:
     """(record, field_no, set_id, n, vals) from a table with one value a row in each field."""
-    rows = records.where(F.col(ident).isNotNull()).select(F.col(ident).alias("record"), *fields)
-    sets = [F.sort_array(F.collect_set(F.when(F.col(f).isNotNull(), F.xxhash64(f)))).alias(f"v{k}") for k, f in enumerate(fields)]
+    own = [F.col(f).alias(f"f{k}") for k, f in enumerate(fields)]
+    rows = records.where(F.col(ident).isNotNull()).select(F.col(ident).alias("record"), *own)
+    sets = [F.sort_array(F.collect_set(F.when(F.col(f"f{k}").isNotNull(), F.xxhash64(f"f{k}")))).alias(f"v{k}") for k in range(len(fields))]
     wide = rows.groupBy("record").agg(*sets)
     both = F.array(*[F.struct(F.lit(k).alias("field_no"), F.col(f"v{k}").alias("vals")) for k in range(len(fields))])
     long = wide.select("record", F.inline(both)).withColumn("n", F.size("vals")).where(F.col("n") >= min_size)
