@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,16 +68,13 @@ _SPACED = re.compile(r"(?:\S {1,2}){8,}\S")
 LIST, MACHINE, PROSE, TERMS, SOURCE = "list", "machine", "prose", "terms", "source"
 
 
+@lru_cache(maxsize=8)
 def function_share(text: str) -> float:
     """Share of function words among the words; for Chinese, of function characters times two."""
-    n = hits = 0.0
-    for t in _TOKEN.findall(text.lower()):
-        n += 1
-        if len(t) == 1 and t >= "⺀":
-            hits += 2 * (t in FUNCTION_ZH)
-        else:
-            hits += t in FUNCTION_EN
-    return hits / n if n else 0.0
+    tokens = _TOKEN.findall(text.lower())
+    if not tokens:
+        return 0.0
+    return (sum(map(FUNCTION_EN.__contains__, tokens)) + 2 * sum(map(FUNCTION_ZH.__contains__, tokens))) / len(tokens)
 
 
 def close_up(line: str) -> str:
@@ -88,22 +86,25 @@ def close_up(line: str) -> str:
 
 def kind_of(line: str) -> str:
     line = close_up(line)
-    urls = _URL.findall(line)
-    bare = _URL.sub(" ", line)
-    words = _MARKUP.sub(" ", re.sub(r"<a\s[^>]*>", " ", bare)).strip()
+    urls = _URL.findall(line) if "://" in line or "www." in line.lower() else []
+    bare = _URL.sub(" ", line) if urls else line
+    words = "" if not urls else _MARKUP.sub(" ", re.sub(r"<a\s[^>]*>", " ", bare)).strip()
     if urls:
         if _REFERENCE.match(line):
             return SOURCE
         anchored = len(words) <= 48 * len(urls)
         if not re.search(r"[。？！]", words) and (anchored or function_share(words) < 0.12):
             return LIST
-    hosts = [h for h in _HOST.findall(bare) if not _FILE.search(h)]
+    # A line of sentences needs no closer look.
+    if "#" not in bare and function_share(bare) >= 0.3 and _SENTENCE.search(bare):
+        return PROSE
+    hosts = [h for h in _HOST.findall(bare) if not _FILE.search(h)] if "." in bare else []
     if hosts and sum(map(len, hosts)) >= 0.6 * len(re.sub(r"\s", "", bare)):
         return LIST
-    tags = _TAG.findall(bare)
+    tags = _TAG.findall(bare) if "#" in bare else []
     if tags and sum(map(len, tags)) >= 0.6 * len(bare.strip()):
         return LIST
-    products = _PRODUCT.findall(bare)
+    products = _PRODUCT.findall(bare) if "-" in bare else []
     if products and len(bare) / len(products) < 90 and not re.search(r"[。？！]", bare):
         if function_share(_PRODUCT.sub(" ", bare)) < 0.2 and _ITEM.search(_PRODUCT.sub("", bare).strip()):
             return LIST
@@ -152,6 +153,8 @@ def echoed(tokens: list[str], n: int = 4, max_lag: int = MAX_LAG) -> float:
 
 def stuffed_sentences(line: str) -> bool:
     """Whether a line with sentence marks is keywords all the same: their runs echo, function words are few."""
+    if function_share(line) >= 0.16:
+        return False
     tokens = _TOKEN.findall(line.lower())
     chinese = sum(t >= "⺀" for t in tokens) * 2 > len(tokens)
     few = 0.08 if chinese else 0.16
