@@ -1,7 +1,9 @@
-"""Connected components by least label, with shortcuts.
+"""Connected components by contraction.
 
-Each round a vertex takes the least label among its neighbours and then its label's own label, so that chains
-halve; the label of a component is its least id.  The state is written to the shared folder every round.
+Each round a vertex merges into the least of itself and its neighbours, then into that one's choice, and the
+edges are drawn anew between what is left, so that a component at least halves; the label of a component is its
+least id.  Every round's tables are written to the shared folder: that ends the lineage, and the next round is
+planned with their true sizes.
 """
 
 from __future__ import annotations
@@ -9,20 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.session import cut
+from quillmark.session import materialise
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
-    """(id, component) for every id with an edge to another one."""
+    """(id, component) for every id with an edge to another one; nulls and loops are no edges."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
-    e = cut(e.union(e.select("y", "x")).distinct())
-    label = cut(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("c")))
+    e = materialise(e.union(e.select("y", "x")).distinct(), "edges")
+    label = materialise(e.select(F.col("x").alias("id"), F.col("x").alias("c")).distinct(), "labels")
     for _ in range(most_rounds):
-        near = e.join(label.toDF("y", "c"), "y").groupBy("x").agg(F.min("c").alias("m"))
-        hooked = label.join(near, label["id"] == near["x"]).select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
-        jump = hooked.alias("h").join(label.toDF("p", "q").alias("l"), F.col("h.c") == F.col("l.p"))
-        fresh = cut(jump.select("id", F.least("c", "q").alias("c"), "old"))
-        label = fresh.select("id", "c")
-        if fresh.where("c <> old").isEmpty():
+        if e.isEmpty():
             return label.select("id", F.col("c").alias("component"))
-    raise RuntimeError(f"no stable components after {most_rounds} rounds")
+        least = e.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        jump = least.join(least.toDF("z", "to"), F.col("m") == F.col("z"))
+        jump = materialise(jump.select(F.col("x").alias("v"), "to"), "jumps")
+        moved = label.join(jump, F.col("c") == F.col("v"), "left").select("id", F.coalesce("to", "c").alias("c"))
+        label = materialise(moved, "labels")
+        drawn = e.join(jump.toDF("x", "p"), "x").join(jump.toDF("y", "q"), "y").where("p <> q")
+        e = materialise(drawn.select(F.col("p").alias("x"), F.col("q").alias("y")).distinct(), "edges")
+    raise RuntimeError(f"no end after {most_rounds} rounds")
