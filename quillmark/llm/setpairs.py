@@ -115,7 +115,7 @@ def similar_pairs(
     fields: Sequence[str],
     threshold: float = 0.6,
     min_size: int = 3,
-    recall: float = 0.97,
+    recall: float = 0.99,
     segment_bits: int = 13,
 ) -> DataFrame:
     """(field_name, a_<ident>, b_<ident>, similarity) with a < b, for each of ``fields`` by itself.
