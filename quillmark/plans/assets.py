@@ -27,12 +27,44 @@ def common_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of submissions that share files, left out those in more than two percent of submissions."""
+    """Pairs of submissions that share files, left out those in 0.2 percent of submissions; exact_links and exact_members are whole."""
     a = table(spark, sf_dir, "assets").where("ok").withColumn("sha", F.nullif(F.lower(F.trim("sha256")), F.lit("")))
     rare = without_common(a.select("work_answer_id", "sha"), "work_answer_id", "sha", 5, 0.002)
     return shared_value_pairs(rare, "work_answer_id", "sha")
 
 
+def specific_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloaded assets with real id and hash, left out those whose id or hash is in a fifth of all submissions."""
+    a = table(spark, sf_dir, "assets").where("ok")
+    a = a.select("work_answer_id", ops.real_object_id(F.col("object_id"), F.col("src")).alias("object"), F.nullif(F.lower(F.trim("sha256")), F.lit("")).alias("file"), "ahash")
+    everyone = table(spark, sf_dir, "submissions").select("work_answer_id", F.lit(None).cast("string").alias("none"))
+    # Found over all assets before any is left out; both lists are short whatever the size of the data.
+    common = {key: common_values(a.select("work_answer_id", key).union(everyone), "work_answer_id", key, 5, 0.2) for key in ("object", "file")}
+    for key, values in common.items():
+        a = a.join(F.broadcast(values.select(key)), key, "left_anti")
+    return a
+
+
+def shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(work_answer_id, kind, value, records) for the real ids and hashes of specific assets."""
+    a = specific_assets(spark, sf_dir)
+    key = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("object", "file")]))
+    seen = a.select("work_answer_id", key.alias("k")).select("work_answer_id", "k.kind", "k.value").where("work_answer_id is not null and value is not null").distinct()
+    return seen.join(seen.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("records")), ["kind", "value"])
+
+
+def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per submission its specific ids and files, and how often others have them: the pairs by number, in linear size."""
+    k = shared_keys(spark, sf_dir)
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
+    return k.groupBy("work_answer_id").agg(*[of(c, x).alias(f"{c}{name}") for c in ("object", "file") for name, x in (("s", F.lit(1)), ("_links", F.col("records") - 1))])
+
+
+def exact_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions by the specific id or file that they share: every pair of the overlap, without writing the pairs."""
+    return shared_keys(spark, sf_dir).where("records >= 2").select("kind", "value", "work_answer_id", "records")
+
+
 def asset_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.clean_counts(table(spark, sf_dir, "assets"))
 
@@ -73,6 +105,13 @@ def image_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_match_mean(p, rare, "x", "y", "work_answer_id", "code")
 
 
+def image_likeness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and best likeness of the images of given pairs, over all images but those of common assets."""
+    a = specific_assets(spark, sf_dir).select("work_answer_id", bits(F.col("ahash")).alias("code"))
+    p = table(spark, sf_dir, "advanced_pairs").select(F.trim("a_work_answer_id").alias("x"), F.trim("b_work_answer_id").alias("y")).where("x < y")
+    return best_match_mean(p, a, "x", "y", "work_answer_id", "code")
+
+
 def asset_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per submission: assets, downloaded, bytes, kinds of failure; the valid count falls back to all rows."""
     a = table(spark, sf_dir, "assets")
@@ -84,7 +123,7 @@ def asset_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (real_ids, common_assets, exact_overlap, asset_clean_counts, asset_choice, asset_merge, url_parts, near_codes, image_likeness, asset_load)}
+QUERIES = {f.__name__: f for f in (real_ids, common_assets, exact_overlap, exact_links, exact_members, asset_clean_counts, asset_choice, asset_merge, url_parts, near_codes, image_likeness, image_likeness_whole, asset_load)}
 
 _OID = r"""coalesce(case when trim(object_id) <> '' and not regexp_full_match(lower(trim(object_id)), 'image_[0-9]+') then lower(trim(object_id)) end,
   nullif(lower(regexp_extract(src, '/([0-9a-fA-F]{24,64})(?:\.|$)', 1)), ''))"""
@@ -152,3 +191,26 @@ select a, b, floor(list_sum(m) / len(m) * 10000 + 0.5) / 10000 mean_best, floor(
 select work_answer_id, count(*) assets, coalesce(nullif(count(*) filter (ok), 0), count(*)) valid,
   coalesce(sum(n_bytes) filter (ok), 0)::bigint n_bytes, count(distinct error_text) failures from assets group by 1""",
 }
+
+_SPECIFIC = f"""x as (select work_answer_id w, {_OID} "object", nullif(lower(trim(sha256)), '') file, ahash from assets where ok),
+n as (select count(distinct w) n from (select w from x union all select work_answer_id from submissions)),
+co as (select "object" v from x, n where "object" is not null group by "object", n.n having count(distinct w) >= 5 and count(distinct w) >= 0.2 * n.n),
+cf as (select file v from x, n where file is not null group by file, n.n having count(distinct w) >= 5 and count(distinct w) >= 0.2 * n.n),
+kept as (select * from x where not coalesce("object" in (select v from co), false) and not coalesce(file in (select v from cf), false))"""
+_SHARED = f"""{_SPECIFIC},
+k as (select distinct w, 'object' kind, "object" "value" from kept where "object" is not null union select distinct w, 'file', file from kept where file is not null),
+s as (select *, count(*) over (partition by kind, "value") records from k where w is not null)"""
+
+SQL |= {
+    "exact_links": f"""with {_SHARED} select w work_answer_id, count(*) filter (kind = 'object') objects, coalesce(sum(records - 1) filter (kind = 'object'), 0)::bigint object_links,
+  count(*) filter (kind = 'file') files, coalesce(sum(records - 1) filter (kind = 'file'), 0)::bigint file_links from s group by 1""",
+    "exact_members": f"""with {_SHARED} select kind, "value", w work_answer_id, records from s where records >= 2""",
+    "image_likeness_whole": f"""
+with {_SPECIFIC}, u as (select distinct w, {_BITS} u from kept where regexp_full_match(ahash, '[01]{{64}}')),
+h as (select w, list(case when u >= 9223372036854775808 then (u - 18446744073709551616)::bigint else u::bigint end) cs from u group by w),
+p as (select distinct trim(a_work_answer_id) a, trim(b_work_answer_id) b from advanced_pairs where trim(a_work_answer_id) < trim(b_work_answer_id)),
+j as (select a, b, case when len(ha.cs) <= len(hb.cs) then ha.cs else hb.cs end s, case when len(ha.cs) <= len(hb.cs) then hb.cs else ha.cs end l
+  from p join h ha on ha.w = a join h hb on hb.w = b),
+m as (select a, b, list_transform(s, lambda x: list_max(list_transform(l, lambda y: 1 - bit_count(xor(x, y)) / 64))) m from j)
+select a, b, floor(list_sum(m) / len(m) * 10000 + 0.5) / 10000 mean_best, floor(list_max(m) * 10000 + 0.5) / 10000 best from m""",
+}
