@@ -102,6 +102,16 @@ def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.toDF("cls", "done", "marked", "waiting", "marking")
 
 
+def score_pivot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest scores by class, a column for each known status and one for all others, so that every draft counts."""
+    names = {"已完成": "done", "已批": "marked", "待批阅": "waiting", "批阅": "marking", "重做待批阅": "redo"}
+    column = F.lit("other")
+    for status, name in names.items():
+        column = F.when(F.col("status") == status, name).otherwise(column)
+    d = latest_drafts(spark, sf_dir).withColumn("column", column)
+    return d.groupBy("cls").pivot("column", [*names.values(), "other"]).agg(F.max("score"))
+
+
 def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each student's scores by assignment as one text, in the order of the assignments' numerals."""
     last = rows.last_by(latest_drafts(spark, sf_dir).select("cls", "student", "assignment_id", "score", "submit_row"), ["cls", "student", "assignment_id"], ["submit_row"])
@@ -188,6 +198,7 @@ QUERIES = {
         assignment_rank,
         score_histogram,
         score_pivot,
+        score_pivot_whole,
         score_lines,
         calibration_examples,
         draft_counts,
@@ -239,6 +250,10 @@ from n group by 1""",
     "score_pivot": f"""
 with {_LATEST} select cls, max(score) filter (status = '已完成') done, max(score) filter (status = '已批') marked,
   max(score) filter (status = '待批阅') waiting, max(score) filter (status = '批阅') marking from latest group by 1""",
+    "score_pivot_whole": f"""
+with {_LATEST} select cls, max(score) filter (status = '已完成') done, max(score) filter (status = '已批') marked,
+  max(score) filter (status = '待批阅') waiting, max(score) filter (status = '批阅') marking, max(score) filter (status = '重做待批阅') redo,
+  max(score) filter (coalesce(status, '') not in ('已完成', '已批', '待批阅', '批阅', '重做待批阅')) other from latest group by 1""",
     "score_lines": f"""
 with {_LATEST}, {_NUMERAL}, one as (select * from latest qualify row_number() over (partition by cls, student, assignment_id order by submit_row desc) = 1)
 select cls, student, string_agg(assignment_key || ':' || trunc(score * 10)::bigint::varchar, ' | ' order by "at", assignment_id) scores

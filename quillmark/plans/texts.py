@@ -65,8 +65,16 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments sent as base64 amid a text, found and decoded again."""
-    d = table(spark, sf_dir, "drafts").where("basis rlike '^[ -~]{18,}$'")
+    """Comments of one ASCII line sent as base64 amid a text, found and decoded again."""
+    return sent_and_decoded(table(spark, sf_dir, "drafts").where("basis rlike '^[ -~]{18,}$'"))
+
+
+def decoded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all drafts, whatever their comments' script, length and lines."""
+    return sent_and_decoded(table(spark, sf_dir, "drafts"))
+
+
+def sent_and_decoded(d: DataFrame) -> DataFrame:
     sent = F.concat(F.lit("payload "), F.regexp_replace(F.base64(F.col("basis").cast("binary")), r"\s+", ""), F.lit(" end"))
     return d.select("draft_id", F.array_join(extract.base64_pieces(sent), "; ").alias("decoded"))
 
@@ -91,7 +99,7 @@ def price_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.floor(x * 100 + 0.5).cast("long")).alias("cents"), F.sum(F.floor(x + 0.5).cast("long")).alias("units"), F.sum(scalars.clamp(x / 1000, 60).cast("long")).alias("clamped"))
 
 
-QUERIES = {f.__name__: f for f in (text_scalars, html_texts, marked_parts, url_lists, gram_counts, guarded_cells, tolerant_json, decoded_pieces, missing_items, vision_parts, price_rounding)}
+QUERIES = {f.__name__: f for f in (text_scalars, html_texts, marked_parts, url_lists, gram_counts, guarded_cells, tolerant_json, decoded_pieces, decoded_whole, missing_items, vision_parts, price_rounding)}
 
 _WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _BARE = rf"lower(regexp_replace(coalesce(text, ''), '{_WS}|[，。；：,.!?！？、]', '', 'g'))"
@@ -155,3 +163,8 @@ with x as (select *, l_extendedprice * (1 - l_discount) x from lineitem)
 select l_returnflag, l_linestatus, sum(floor(x * 100 + 0.5)::bigint)::bigint cents, sum(floor(x + 0.5)::bigint)::bigint units,
   sum(least(60.0, greatest(0.0, floor(x / 1000 + 0.5)))::bigint)::bigint clamped from x group by 1, 2""",
 }
+
+_SHOWN = r"regexp_replace(basis, '[^\x20-\x7e\t\n\x{000b}\f\r]', '', 'g')"
+SQL["decoded_whole"] = f"""
+select draft_id, case when length(rtrim(to_base64(encode(basis)), '=')) >= 24 and length(basis) >= 8
+  and length({_SHOWN}) > 0.75 * length(basis) then basis else '' end decoded from drafts"""

@@ -36,3 +36,25 @@ def test_likeness_keeps_codes_under_a_fifth(spark, tmp_path):
     sf = shared_assets(spark, tmp_path)
     best = {(r["a"], r["b"]): r["best"] for r in registry.QUERIES["image_likeness_whole"](spark, sf).collect()}
     assert best[("w00", "w01")] == 1.0 and best[("w50", "w51")] < 1.0
+
+
+def test_all_drafts_are_decoded(spark, tmp_path):
+    said = ["a comment in a single line", "two lines of it\nwith a Chinese 字 amid", "证据完整，步骤齐全，可以复现", "short", "", None]
+    sf = written(spark, tmp_path, drafts=(list(enumerate(said)), "draft_id long, basis string"))
+    got = {r["draft_id"]: r["decoded"] for r in registry.QUERIES["decoded_whole"](spark, sf).collect()}
+    # By hand: what is mostly no ASCII, or under 18 bytes, isn't taken for a decoded text.
+    assert got == {0: said[0], 1: said[1], 2: "", 3: "", 4: "", 5: ""}
+
+
+def test_every_status_has_a_column(spark, tmp_path):
+    statuses = ["已完成", "已批", "待批阅", "批阅", "重做待批阅", "new one", None]
+    drafts = [(i, f"w{i}", s, float(i), "c", f"n{i}", f"s{i}") for i, s in enumerate(statuses)]
+    subs = [(f"w{i}", "a", None, i) for i in range(len(statuses))]
+    sf = written(
+        spark,
+        tmp_path,
+        drafts=(drafts, "draft_id long, work_answer_id string, status string, draft_score double, class_name string, student_no string, student_name string"),
+        submissions=(subs, "work_answer_id string, assignment_id string, collected_at timestamp, submit_row long"),
+    )
+    r = registry.QUERIES["score_pivot_whole"](spark, sf).first()
+    assert r.asDict() == {"cls": "c", "done": 0.0, "marked": 1.0, "waiting": 2.0, "marking": 3.0, "redo": 4.0, "other": 6.0}
