@@ -48,6 +48,9 @@ _TIME = (
     r"(?:\s*[:分]\s*(\d{1,2})(?!\d)(?:秒|[.,](\d+))?)?分?"
     r"\s*(AM|PM|A\.M\.|P\.M\.)?"
 )
+_FULL = r"(?<!\d)(\d{4})(\d{2})(\d{2})[T\s]?(\d{2})(\d{2})(\d{2})(?!\d)"
+_SHORT = r"(?<!\d)(\d{4})(\d{2})(\d{2})[T\s]?(\d{2})(\d{2})(?!\d)"
+_UNIX = r"^\D*?(?<![\d.\-])(\d{13}|\d{10}|\d{9})(?![\d.])\D*$"
 _OFFSET = r"(?i)^\s*(?:UTC|GMT|Z)?\s*([+\-−])\s*(\d{1,2})(?::?(\d{2}))?(?!\d)"
 _ABBR = r"^\s*\(?(" + "|".join(sorted(ABBREVIATIONS, key=len, reverse=True)) + r"|Z)(?![A-Za-z])"
 
@@ -73,11 +76,9 @@ def parse_stamps(df: DataFrame) -> DataFrame:
     Written in steps so that each pattern is matched once a row.
     """
     t, zone, year = F.col("t"), F.col("stamp_zone"), F.col("stamp_year")
-    full = r"(?<!\d)(\d{4})(\d{2})(\d{2})[T\s]?(\d{2})(\d{2})(\d{2})(?!\d)"
-    short = r"(?<!\d)(\d{4})(\d{2})(\d{2})[T\s]?(\d{2})(\d{2})(?!\d)"
     plain = narrow(F.col("stamp_text"))
-    out = df.withColumn("unix", _group(plain, r"^\D*?(?<![\d.\-])(\d{13}|\d{10}|\d{9})(?![\d.])\D*$", 1))
-    spread = F.regexp_replace(F.regexp_replace(plain, full, "$1-$2-$3 $4:$5:$6"), short, "$1-$2-$3 $4:$5")
+    out = df.withColumn("unix", _group(plain, _UNIX, 1))
+    spread = F.regexp_replace(F.regexp_replace(plain, _FULL, "$1-$2-$3 $4:$5:$6"), _SHORT, "$1-$2-$3 $4:$5")
     out = out.withColumn("t", spread)
     layouts = {"ymd": (_YMD, 3), "dmony": (_DMONY, 3), "mondy": (_MONDY, 3), "mdy": (_MDY, 3), "md": (_MD, 2)}
     out = out.withColumns({k: F.array(*[_group(t, p, g + 1) for g in range(n)]) for k, (p, n) in layouts.items()})
@@ -147,10 +148,15 @@ KEY = ["stamp_text", "stamp_zone", "stamp_year"]
 
 
 def stamp_keys(df: DataFrame, text: str, zone: str | None, collected: str | None, default_zone: str) -> list[Column]:
-    """The dictionary's key of each row; the year counts only where the text has none."""
+    """The dictionary's key of each row; the year counts only where no layout of the text has one."""
     z = F.lit(None).cast("string") if zone is None else F.nullif(F.trim(df[zone]), F.lit(""))
     at = F.lit(None).cast("timestamp") if collected is None else df[collected]
-    no_year = ~narrow(df[text]).rlike(r"\d{4}")
+    plain = narrow(df[text])
+    # Four digits may be an offset or a fraction; only a layout of parse_stamps makes them a year.
+    dated = plain.rlike(_YMD)
+    for layout in (_FULL, _SHORT, _DMONY, _MONDY, _MDY, _UNIX):
+        dated = dated | plain.rlike(layout)
+    no_year = ~(plain.rlike(r"\d{4}") & dated)
     return [
         df[text].alias("stamp_text"),
         F.coalesce(z, F.lit(default_zone)).alias("stamp_zone"),

@@ -110,3 +110,12 @@ def test_dictionary_grows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     keys = more.select(*stamp_keys(more, "t", None, None, "UTC"))
     assert extend_dictionary(keys, path).where(F.col("stamp_zone") == "UTC").count() == 2
+
+
+def test_four_digits_that_are_no_year(spark):
+    texts = ["03-09 08:00 +0800", "03-09 08:00:30.123456", "03-09 08:00:30.1234 UTC"]
+    at = dt.datetime(2024, 5, 1, tzinfo=UTC)
+    df = spark.createDataFrame([(t, at) for t in texts], "t string, at timestamp")
+    got = {r["t"]: r["utc_ms"] for r in normalise_instants(df, "t", None, "at").collect()}
+    midnight = ms(2024, 3, 9)
+    assert [got[t] - midnight for t in texts] == [0, 30_123, 8 * 3_600_000 + 30_123]
