@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,26 @@ EVIDENCE = [
     r"(https?://[^\s|<>\"']+)",
 ]
 
+# The reference's patterns, over text in lower case with single blanks; \b is the edge of an ASCII word.
+REFERENCE_EVIDENCE = [
+    r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    r"\b(?:nc|ncat) +-[a-z]* *(?:\d{2,5})\b",
+    r"\blistening on (?:\d{1,3}\.){3}\d{1,3} \d{2,5}\b",
+    r"\bconnection received on (?:\d{1,3}\.){3}\d{1,3} \d{2,5}\b",
+    r"\bdocker compose up --build\b",
+    r"\bcommand 'docker' not found\b",
+    r"\b(?:apt install )?(?:docker\.io|podman-docker)\b",
+    r"\bbuilding war: *[^ ]+\.war\b",
+    r"\b[A-Za-z0-9_.-]+\.war\b",
+    r"\b(?:ldap|rmi|http)://[^ \"'<>]+",
+    r"/(?:rce|uvvvi|exec|exectemplate)[A-Za-z0-9_.-]*",
+    r"\bexectemplatejdk8(?:\.class)?\b",
+    r"\brce[-_][a-z0-9_-]+",
+    r"\bsqli\b",
+]
+# Every pattern with an edge begins and ends with a word character there.
+_FIRST, _LAST = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+
 
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -33,6 +55,13 @@ def evidence_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.lower(squeeze(x))))
 
 
+def reference_tokens(text: Column) -> Column:
+    """The set of the reference's evidence tokens; an empty set for a null text."""
+    t = F.lower(squeeze(F.coalesce(text, F.lit(""))))
+    found = [F.regexp_extract_all(t, F.lit(re.sub(r"^\\b", lambda _: _FIRST, p).replace(r"\b", _LAST)), F.lit(0)) for p in REFERENCE_EVIDENCE]
+    return F.array_distinct(F.flatten(F.array(*found)))
+
+
 def urls_in(text: Column, most: int = 20) -> Column:
     """The first ``most`` different URLs of a text without what closes them."""
     found = all_matches(F.coalesce(text, F.lit("")), r"(https?://[^\s<>\"'）)\]，。、|]+)")

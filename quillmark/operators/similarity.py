@@ -77,6 +77,25 @@ def containment_pairs(tokens: DataFrame, record: str, token: str, threshold: flo
     return met.withColumn("containment", share).where(F.col("containment") >= threshold).select("a", "b", "shared", "containment")
 
 
+def rare_containment_pairs(tokens: DataFrame, record: str, token: str, threshold: float, least: int = 3) -> DataFrame:
+    """The rows of ``containment_pairs`` with fewer meetings: the smaller set meets others by its rarest tokens only.
+
+    A pair at the threshold shares ceil(t n) of the n tokens of the smaller set, so one of any n - ceil(t n) + 1.
+    """
+    t = threshold - 0.00005
+    seen = tokens.select(F.col(record).alias("r"), F.col(token).alias("v")).where("r is not null and v is not null").distinct()
+    sets = seen.groupBy("r").agg(F.collect_list("v").alias("vs")).withColumn("n", F.size("vs")).where(F.col("n") >= least)
+    long = sets.select("r", "n", F.explode("vs").alias("v"))
+    freq = long.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    at = F.row_number().over(Window.partitionBy("r").orderBy("df", "v"))
+    first = long.join(freq, "v").withColumn("k", at).where(F.col("k") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    a, b = first.select(F.col("r").alias("x"), F.col("n").alias("nx"), "v"), long.toDF("y", "ny", "v")
+    met = a.join(b, "v").where("x <> y and nx <= ny").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = met.join(sets.toDF("a", "va", "na"), "a").join(sets.toDF("b", "vb", "nb"), "b").withColumn("shared", F.size(F.array_intersect("va", "vb")).cast("long"))
+    share = half_up(F.col("shared") / F.least("na", "nb"), 4)
+    return both.withColumn("containment", share).where(F.col("containment") >= threshold).select("a", "b", "shared", "containment")
+
+
 def best_match_mean(pairs: DataFrame, hashes: DataFrame, a: str, b: str, record: str, code: str) -> DataFrame:
     """(a, b, mean_best, best) for given pairs of records: for each code of the record with fewer (the first
     where equal), the highest likeness 1 - distance / 64 to the other's codes; their mean, and the best of all.

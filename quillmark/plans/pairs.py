@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions.extract import evidence_tokens, long_numbers
+from quillmark.functions.extract import REFERENCE_EVIDENCE, evidence_tokens, long_numbers, reference_tokens
 from quillmark.functions.scalars import half_up
 from quillmark.operators import rows
 from quillmark.operators.common import common_values, without_common
 from quillmark.operators.components import components
-from quillmark.operators.similarity import average_hash, containment_pairs, ratio_matches, text_pairs
+from quillmark.operators.similarity import average_hash, containment_pairs, rare_containment_pairs, ratio_matches, text_pairs
+from quillmark.session import scratch_path
 from quillmark.sources.tables import table
 
 
@@ -164,6 +165,29 @@ def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_pairs(without_common(v, "work_answer_id", "token", 5, 0.01), "work_answer_id", "token", 0.6, 2)
 
 
+def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(work_answer_id, token) from the last vision result and the last answer; a null token for none, so that all submissions count."""
+    v = rows.last_by(table(spark, sf_dir, "vision").where("work_answer_id is not null"), ["work_answer_id"], ["vision_id"])
+    s = rows.last_by(table(spark, sf_dir, "submissions").where("work_answer_id is not null").select("work_answer_id", "submit_row", "answer_text"), ["work_answer_id"], ["submit_row"])
+    j = v.select("work_answer_id", "extracted_text", "summary", "review_comment").join(s.select("work_answer_id", "answer_text"), "work_answer_id", "full")
+    text = F.concat_ws("\n", "extracted_text", "summary", "review_comment", "answer_text")
+    return j.select("work_answer_id", F.explode_outer(reference_tokens(text)).alias("token"))
+
+
+def evidence_frequency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's evidence tokens of all four texts by the number of submissions that show them."""
+    return common_values(all_evidence(spark, sf_dir), "work_answer_id", "token", 2, 0.0)
+
+
+def evidence_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of submissions by containment of all evidence tokens but those in a fifth of all submissions."""
+    # Written once, as the tokens are read three times and the patterns are dear.
+    path = scratch_path(spark, "evidence")
+    all_evidence(spark, sf_dir).write.mode("append").parquet(path)
+    rare = without_common(spark.read.parquet(path), "work_answer_id", "token", 5, 0.2)
+    return rare_containment_pairs(rare, "work_answer_id", "token", 0.6, 2)
+
+
 def answer_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submissions of one assignment with similar answer texts."""
     s = rows.last_by(table(spark, sf_dir, "submissions").select("work_answer_id", "submit_row", "assignment_id", "answer_text"), ["work_answer_id"], ["submit_row"])
@@ -199,6 +223,8 @@ QUERIES = {
         foreign_numbers,
         evidence_frequency,
         evidence_containment,
+        evidence_frequency_whole,
+        evidence_containment_whole,
         answer_text_pairs,
         embedding_hashes,
         nearest_ratio,
@@ -301,3 +327,21 @@ r as (select *, row_number() over (partition by f order by d, t) k from d)
 select a.f from_id, a.t to_id, floor(a.d * 10000 + 0.5) / 10000 distance, floor(a.d / b.d * 10000 + 0.5) / 10000 ratio
 from r a join r b on a.f = b.f and a.k = 1 and b.k = 2 where a.d / b.d < 0.95""",
 }
+
+_QUOTED = [p.replace("'", "''") for p in REFERENCE_EVIDENCE]
+_WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_ALL_EVIDENCE = rf"""v as (select * from vision where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by vision_id desc) = 1),
+s as (select * from submissions where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1),
+t as (select coalesce(v.work_answer_id, s.work_answer_id) w,
+  lower(regexp_replace(concat_ws(chr(10), extracted_text, summary, review_comment, answer_text), '{_WS}+', ' ', 'g')) t from v full join s on v.work_answer_id = s.work_answer_id),
+k as (select distinct w, token from ({" union all ".join(f"select w, unnest(regexp_extract_all(t, '{p}')) token from t" for p in _QUOTED)}))"""
+
+SQL |= {
+    "evidence_frequency_whole": f"with {_ALL_EVIDENCE} select token, count(*) records from k group by 1 having count(*) >= 2",
+    "evidence_containment_whole": f"""
+with {_ALL_EVIDENCE}, n as (select count(*) n from t),
+common as (select token from k, n group by token, n.n having count(*) >= 5 and count(*) >= 0.2 * n.n),
+r as (select *, count(*) over (partition by w) size from k where token not in (select token from common)),
+m as (select a.w a, b.w b, count(*) shared, least(a.size, b.size) least_size from r a join r b using (token) where a.w < b.w and a.size >= 2 and b.size >= 2 group by 1, 2, 4)
+select a, b, shared, floor(shared / least_size * 10000 + 0.5) / 10000 containment from m where floor(shared / least_size * 10000 + 0.5) / 10000 >= 0.6""",
+}

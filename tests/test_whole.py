@@ -58,3 +58,13 @@ def test_every_status_has_a_column(spark, tmp_path):
     )
     r = registry.QUERIES["score_pivot_whole"](spark, sf).first()
     assert r.asDict() == {"cls": "c", "done": 0.0, "marked": 1.0, "waiting": 2.0, "marking": 3.0, "redo": 4.0, "other": 6.0}
+
+
+def test_evidence_of_all_texts_and_patterns(spark, tmp_path):
+    vision = [(1, "a", "/rce.x sqli", "ncat -lvp 4444", "apt install docker.io"), (2, "b", None, None, None)]
+    subs = [(1, "a", "Command 'docker'\nnot found 10.0.0.1"), (2, "b", "在10.0.0.1, SQLi; ncat  -lvp 4444"), (3, "c", None)]
+    sf = written(spark, tmp_path, vision=(vision, "vision_id long, work_answer_id string, extracted_text string, summary string, review_comment string"), submissions=(subs, "submit_row long, work_answer_id string, answer_text string"))
+    got = {(r["token"], r["records"]) for r in registry.QUERIES["evidence_frequency_whole"](spark, sf).collect()}
+    assert got == {("10.0.0.1", 2), ("sqli", 2), ("ncat -lvp 4444", 2)}
+    pairs = [tuple(r) for r in registry.QUERIES["evidence_containment_whole"](spark, sf).collect()]
+    assert pairs == [("a", "b", 3, 1.0)]
