@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a temporary folder of this machine takes its place.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all tasks run on this
+    machine (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -37,7 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that later scans prune columns."""
+    """Write ``df`` as Parquet in the shared folder and read it back, so that later scans prune columns and
+    later plans know the size."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            t.written_to = None
