@@ -10,6 +10,11 @@ a stretch of a random permutation of that source's blocks; within a shard the re
 
 Only the counts of blocks by source reach the driver: sources x shards numbers, shards bounded by ``MOST_SHARDS``.
 
+Sizes follow from the total unless they are given.  A block has ``LEAST_BLOCK`` tokens, or more where there would
+be over ``MOST_BLOCKS`` blocks; a shard has about ``SHARD_TOKENS`` tokens, or more where there would be over
+``MOST_SHARDS`` shards.  A shard larger than that is written by several tasks, each with a range of the shuffling
+hash, so that a task holds some ``SHARD_TOKENS`` tokens (about 64 MB of text) whatever the size of the mix.
+
 Cases: documents of no source, of a source without a target or a weight of 0, with a null or empty text are
 left out; a source without documents can't have a share, the others keep their weights towards each other;
 empty tables give no records; repeated document ids are documents of their own; ``max_repeats`` below 1 is 1.
@@ -32,6 +37,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts a text before byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_SHARDS = 4096
+LEAST_SHARDS = 16
+SHARD_TOKENS = 16_000_000
+LEAST_BLOCK = 1024
+MOST_BLOCKS = 10**9
 
 _LOADED: dict = {}
 
@@ -67,6 +76,33 @@ def source_key(name: str):
     return F.when(key != "", key)
 
 
+def drawn_of(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric number for counts beyond numpy's: the point of the distribution function that a uniform
+    number meets, over all values within forty deviations of the mode; what lies beyond weighs under 1e-300."""
+    total = good + bad
+    lowest, highest = max(0, draws - bad), min(good, draws)
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    spread = math.sqrt(max(1.0, draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))))
+    low, high = max(lowest, int(mode - 40 * spread) - 40), min(highest, int(mode + 40 * spread) + 40)
+    k = np.arange(low, high, dtype=np.float64)  # the weight of k + 1 against that of k
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1]))
+
+
+def drawn(rng: np.random.Generator, have: np.ndarray, draws: int) -> np.ndarray:
+    """How many of ``draws`` blocks drawn without replacement are of each source."""
+    if have.sum() < 10**9:
+        return rng.multivariate_hypergeometric(have, draws, method="marginals")
+    out, rest = np.zeros_like(have), int(have.sum())
+    for i, n in enumerate(map(int, have)):
+        rest -= n
+        out[i] = drawn_of(rng, n, rest, draws) if n and rest and draws else min(n, draws)
+        draws -= int(out[i])
+    return out
+
+
 def split_tree(counts: dict[str, int], shards: int, seed: int) -> list[dict[str, int]]:
     """Blocks of each source for each shard: exact, disjoint, random."""
     names, rng = sorted(counts), np.random.default_rng(seed)
@@ -77,9 +113,9 @@ def split_tree(counts: dict[str, int], shards: int, seed: int) -> list[dict[str,
             out.append(dict(zip(names, map(int, have), strict=True)))
             return
         left = k // 2
-        drawn = rng.multivariate_hypergeometric(have, int(have.sum()) * left // k, method="marginals") if have.sum() else have
-        deal(drawn, left)
-        deal(have - drawn, k - left)
+        part = drawn(rng, have, int(have.sum()) * left // k) if have.sum() else have
+        deal(part, left)
+        deal(have - part, k - left)
 
     deal(np.array([counts[n] for n in names], np.int64), shards)
     return out
@@ -94,13 +130,13 @@ def mixed(
     weight: str = "weight_percent",
     repeats: str = "max_repeats",
     total_tokens: int | None = None,
-    shards: int = 16,
-    block_tokens: int = 1024,
+    shards: int | None = None,
+    block_tokens: int | None = None,
     tokenizer: str = TOKENIZER,
     seed: int = 7,
 ) -> DataFrame:
     """(doc_id, source, copy_no, shard, n_tokens, text): a row for each use of a document."""
-    if not 1 <= shards <= MOST_SHARDS:
+    if shards is not None and not 1 <= shards <= MOST_SHARDS:
         raise ValueError(f"shards must lie between 1 and {MOST_SHARDS}")
     spark = docs.sparkSession
     goal = targets.select(source_key(source).alias("s"), F.col(weight).cast("double").alias("w"), F.greatest(F.coalesce(F.col(repeats), F.lit(1)), F.lit(1)).cast("long").alias("r"))
@@ -116,6 +152,10 @@ def mixed(
     all_weight = sum(w for _, w, _ in sums.values())
     most = min((t * r * all_weight / w for t, w, r in sums.values()), default=0.0)
     total = min(most, total_tokens) if total_tokens else most
+    if block_tokens is None:
+        block_tokens = max(LEAST_BLOCK, math.ceil(total / MOST_BLOCKS))
+    if shards is None:
+        shards = min(MOST_SHARDS, max(LEAST_SHARDS, math.ceil(total / SHARD_TOKENS)))
     plan = []
     for s, (t, w, r) in sorted(sums.items()):
         quota = min(int(total * w / all_weight), t * r)
@@ -148,7 +188,11 @@ def mixed(
 
     out = used.join(counted, "uid")
     out = out.select(F.col("doc").alias(doc_id), F.col("s").alias(source), F.col("copy_no").cast("int").alias("copy_no"), "shard", "n_tokens", F.col("text").alias(text), F.xxhash64(F.lit(seed), "uid", "copy_no").alias("__o"))
-    return out.repartition("shard").sortWithinPartitions("shard", "__o").drop("__o")
+    # A shard's records by rising hash, in ``parts`` even ranges of it.
+    parts = max(1, math.ceil(total / shards / SHARD_TOKENS))
+    span = F.floor((F.shiftrightunsigned("__o", 1).bitwiseXOR(F.lit(1 << 62))) / F.lit(2.0**63) * parts)
+    out = out.withColumn("__part", F.least(span.cast("int"), F.lit(parts - 1)))
+    return out.repartition(shards * parts, "shard", "__part").sortWithinPartitions("shard", "__part", "__o").drop("__o", "__part")
 
 
 def shares(mix: DataFrame, targets: DataFrame, source: str = "source", weight: str = "weight_percent", repeats: str = "max_repeats") -> DataFrame:

@@ -65,6 +65,16 @@ def _narrow(column: str) -> str:
 
 
 SQL = {
+    "p2_found": r"""
+with v as (
+  select distinct 'object_id' f, work_answer_id w, lower(regexp_replace(object_id, '^\s+|\s+$', '', 'g')) x from assets where ok and work_answer_id is not null
+  union select 'sha256', work_answer_id, lower(regexp_replace(sha256, '^\s+|\s+$', '', 'g')) from assets where ok and work_answer_id is not null),
+r as (select * from v where x <> '' and not regexp_full_match(x, 'image_[0-9]+')),
+z as (select f, w, count(*) n from r group by 1, 2 having count(*) >= 3),
+k as (select r.*, n from r join z using (f, w)),
+p as (select a.f, a.w a, b.w b, count(*) shared, a.n na, b.n nb from k a join k b on a.f = b.f and a.x = b.x and a.w < b.w group by a.f, a.w, b.w, a.n, b.n)
+select f field_name, a a_work_answer_id, b b_work_answer_id from p where shared / (na + nb - shared) >= 0.6 - 1e-12
+""",
     "p3_found": r"""
 with recursive pieces as (
   select regexp_replace(a_work_answer_id, '^\s+|\s+$', '', 'g') a, regexp_replace(b_work_answer_id, '^\s+|\s+$', '', 'g') b

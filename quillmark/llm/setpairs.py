@@ -10,11 +10,16 @@ Calibration: the number of segments is the least for which a pair at the thresho
 probability ``recall`` or more, and the radius the least that keeps such a pair with probability
 1 - (1 - recall) / 10.  Two sets of given sizes can't have every similarity: the least one at or above the
 threshold sets their radius, so that small sets just below the threshold are kept out.  Pairs above the
-threshold are found more often.  A longer ``segment_bits`` means fewer chance meetings and more segments;
-13 bits suit up to some five million sets, for more add a bit for each doubling beyond.
+threshold are found more often.
 
-Equal sets are one class: classes meet in the index, members are joined back at the end.  So a set shared
-by a third of the records makes no hot bucket.
+A longer segment means fewer chance meetings and more segments.  Unless ``segment_bits`` is given it follows
+from the counted classes: at least ``LEAST_BITS``, and as many as keep a bucket at ``PER_BUCKET`` classes or
+fewer, so that the chance meetings of a set are bounded whatever the size of the table; the segments, and so
+the shuffled bytes, grow by a fourth with each doubling of the classes.
+
+Equal sets are one class: classes meet in the index, members are joined back at the end.  A class of more than
+``BLOCK`` records is cut into blocks of about that many by the record's hash, and blocks meet, so that a set
+shared by a third of the records fills no task: the largest one writes the pairs of two blocks.
 
 Cases: null, blank and excluded values don't count, repeated values count once; sets below ``min_size``
 give no pairs; a null record id gives none; an empty table gives none; other columns are ignored.
@@ -36,6 +41,16 @@ from quillmark.session import materialise
 
 CODE_BITS = 128
 SEED = 20231
+LEAST_BITS, MOST_BITS = 13, 22
+#: Classes of one field in a bucket, on average, beyond which segments get longer.
+PER_BUCKET = 128
+#: Records of one class that meet in one place.
+BLOCK = 1000
+
+
+def bits_for(classes: int) -> int:
+    """Bits of a segment for so many classes of one field."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, classes) / PER_BUCKET))))
 
 
 def segment_count(threshold: float, recall: float, segment_bits: int) -> int:
@@ -116,22 +131,26 @@ def similar_pairs(
     threshold: float = 0.6,
     min_size: int = 3,
     recall: float = 0.99,
-    segment_bits: int = 13,
+    segment_bits: int | None = None,
 ) -> DataFrame:
     """(field_name, a_<ident>, b_<ident>, similarity) with a < b, for each of ``fields`` by itself.
 
     ``records`` has one row for each value; prepare the values (case, blanks, placeholders to null) first.
     """
-    segments = segment_count(threshold, recall, segment_bits)
-    if len(fields) * segments << segment_bits > 2**31:
-        raise ValueError("too many fields or too long segments for 32-bit keys")
     # The radius for the least similarity from the threshold up that sets of these sizes can have, in steps of 0.01.
     radii = F.array(*[F.lit(hamming_radius(max(threshold, k / 100), recall)) for k in range(101)])
     sizes = F.col("a.n") + F.col("b.n")
     needed = F.ceil(threshold / (1 + threshold) * sizes - 1e-9)
     radius = F.get(radii, F.floor(100 * needed / (sizes - needed) + 1e-9).cast("int"))
     members = materialise(value_sets(records, ident, fields, min_size), "sets")
-    classes = materialise(members.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("field_no", "n", "vals")]), "classes")
+    per_class = members.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("field_no", "n", "vals")], F.count(F.lit(1)).alias("records"))
+    classes = materialise(per_class.withColumn("blocks", F.ceil(F.col("records") / BLOCK).cast("int")), "classes")
+    if segment_bits is None:
+        largest = classes.groupBy("field_no").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        segment_bits = bits_for(largest or 0)
+    segments = segment_count(threshold, recall, segment_bits)
+    if len(fields) * segments << segment_bits > 2**31:
+        raise ValueError("too many fields or too long segments for 32-bit keys")
 
     sketch = sketcher(segments, segment_bits)
     schema = "set_id long, n int, c0 long, c1 long, keys array<int>"
@@ -147,20 +166,21 @@ def similar_pairs(
     )
     candidates = a.join(b.hint("merge"), near).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
 
-    left = classes.select(F.col("set_id").alias("a"), "field_no", F.col("n").alias("na"), F.col("vals").alias("va"))
-    right = classes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("vals").alias("vb"))
+    left = classes.select(F.col("set_id").alias("a"), "field_no", F.col("n").alias("na"), F.col("vals").alias("va"), F.col("blocks").alias("pa"))
+    right = classes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("vals").alias("vb"), F.col("blocks").alias("pb"))
     shared = F.size(F.array_intersect("va", "vb"))
     compared = candidates.join(left, "a").join(right, "b").withColumn("shared", shared)
     compared = compared.withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-    alike = compared.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "field_no", "similarity")
-
-    who = members.select("set_id", "record")
-    of_a, of_b = who.toDF("a", "ra"), who.toDF("b", "rb")
-    between = alike.join(of_a, "a").join(of_b, "b").select("field_no", "ra", "rb", "similarity")
-    same = members.select("set_id", "field_no", F.col("record").alias("ra")).join(who.toDF("set_id", "rb"), "set_id")
-    same = same.where("ra < rb").select("field_no", "ra", "rb", F.lit(1.0).alias("similarity"))
+    alike = compared.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "field_no", "similarity", "pa", "pb")
+    # A class is like itself once it has two records; its blocks meet in one order only.
+    itself = classes.where("records > 1")
+    itself = itself.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), "field_no", F.lit(1.0).alias("similarity"), F.col("blocks").alias("pa"), F.col("blocks").alias("pb"))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    meet = alike.union(itself).withColumn("ka", every("pa")).withColumn("kb", every("pb")).where("a <> b or ka <= kb")
+    who = members.join(classes.select("set_id", "blocks"), "set_id").select("set_id", F.pmod(F.xxhash64("record"), "blocks").cast("int").alias("k"), "record")
+    pairs = meet.join(who.toDF("a", "ka", "ra"), ["a", "ka"]).join(who.toDF("b", "kb", "rb"), ["b", "kb"]).where("a <> b or ka < kb or ra < rb")
     names = F.array(*[F.lit(f) for f in fields])
-    return between.union(same).select(
+    return pairs.select(
         F.get(names, F.col("field_no")).alias("field_name"),
         F.least("ra", "rb").alias(f"a_{ident}"),
         F.greatest("ra", "rb").alias(f"b_{ident}"),

@@ -22,7 +22,9 @@ def brute_pairs(sets, threshold=0.6, least=3):
     return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
-def test_set_pairs(spark):
+@pytest.mark.parametrize("block", [1000, 7])
+def test_set_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(setpairs, "BLOCK", block)  # the thirty equal sets in blocks too
     rnd = random.Random(1)
     sets, data = {}, []
     for g in range(60):
@@ -48,6 +50,10 @@ def test_set_pairs(spark):
 def test_calibration():
     assert setpairs.segment_count(0.6, 0.97, 13) == 63
     assert setpairs.hamming_radius(1.0, 0.97) == 0
+    # Thirteen bits up to a million and more classes, then a bit for each doubling: the bucket stays as full.
+    assert [setpairs.bits_for(n) for n in (0, 36_000, 1_048_576, 1_100_000, 40_000_000)] == [13, 13, 13, 14, 19]
+    for n in (10**6, 10**7, 10**8):
+        assert n / 2 ** setpairs.bits_for(n) <= setpairs.PER_BUCKET
     radii = [setpairs.hamming_radius(t / 10, 0.97) for t in range(3, 11)]
     assert radii == sorted(radii, reverse=True)
 
@@ -90,6 +96,22 @@ def test_groups(spark, seed, monkeypatch):
     assert groups.hash_to_min(df.limit(0), "v", "b").count() == 0
 
 
+def test_a_round_of_a_hot_vertex(spark):
+    """A vertex over the bound: its rows aren't shuffled by the vertex, three exchanges and a broadcast do."""
+    rows = spark.range(3000).selectExpr("0L as v", "id as u").union(spark.range(1, 3000).selectExpr("id as v", "0L as u"))
+    rows = groups.materialise(rows, "t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = groups.sent_clusters(rows, hot=100)
+        assert out.count() == 3000 + 2999  # (0, u) for all u, (u, 0) for the others
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the least members (three readings of one exchange), the rows of small clusters, the distinct
+        assert plan.count("BroadcastHashJoin") >= 2 and plan.count("Exchange hashpartitioning") <= 5, plan
+        groups.drop_written(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_matched_pairs(spark):
     rows = [(" a", "b\t", "x", 1), ("b", "c", "image_3; ;", 1), ("c", "d", None, 1), ("d", "e", "; image_1;y", 1), ("f", "f", "x", 1), ("", "g", "x", 1), (None, "g", "x", 1)]
     df = spark.createDataFrame(rows, "a_work_answer_id string, b_work_answer_id string, exact_shared string, v int")
@@ -212,3 +234,32 @@ def test_split_tree_is_exact():
     assert len(dealt) == 13 and {n: sum(d[n] for d in dealt) for n in counts} == counts
     sizes = [sum(d.values()) for d in dealt]
     assert max(sizes) - min(sizes) <= 4
+
+
+def test_split_tree_beyond_a_billion_blocks():
+    counts = {"a": 5 * 10**10, "b": 10**9, "c": 7, "d": 3 * 10**9}
+    dealt = mixing.split_tree(counts, 8, 3)
+    assert {n: sum(d[n] for d in dealt) for n in counts} == counts
+    assert max(sum(d.values()) for d in dealt) - min(sum(d.values()) for d in dealt) <= 3
+    assert all(abs(d["a"] / sum(d.values()) - 5 / 5.4) < 1e-4 for d in dealt)
+
+
+def test_large_draws_are_hypergeometric():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for good, bad, draws in ((30, 70, 40), (3, 5, 8), (1000, 10, 500), (5, 5, 0)):
+        own = [mixing.drawn_of(rng, good, bad, draws) for _ in range(3000)]
+        mean = draws * good / (good + bad)
+        spread = (mean * bad / (good + bad) * (good + bad - draws) / (good + bad - 1)) ** 0.5
+        assert abs(np.mean(own) - mean) <= 5 * spread / 3000**0.5 + 1e-9 and abs(np.std(own) - spread) <= 0.1 * spread + 1e-9
+
+
+@needs_tokenizer
+def test_large_shards_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 100)
+    docs = spark.createDataFrame([(i, "alpha beta gamma", "a") for i in range(400)], "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 100, 1)], "source string, weight_percent int, max_repeats int")
+    mix = mixing.mixed(docs, goal, shards=2, block_tokens=16).select("doc_id", "shard", F.spark_partition_id().alias("task"))
+    rows = mix.collect()
+    assert len(rows) == 400 and len({(r["shard"], r["task"]) for r in rows}) > 4
