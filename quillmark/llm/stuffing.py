@@ -1,17 +1,19 @@
-"""Keyword-stuffed and link-list pages.
+"""Keyword-stuffed and link-list pages, by how their terms recur.
 
-A document is cut into lines and each line is one of
+A page is read as a sequence of terms: words and Chinese characters, and in place of each link, host, tag and
+product number the sign of its class, with the characters it stands for.  Lines whose sentences or function
+words say that they are prose, and machine output (by shape, inside a fence, or a bare status line among such
+lines), are told apart first; what is left are blocks of terms, and sentences with few function words.  Three
+signals judge a block, each over its characters:
 
-* a list of links, hosts, tags or products (found by shape),
-* machine output or code (by shape, or inside a fence, or a bare status line among such lines),
-* prose (sentence marks, or the share of function words that sentences have),
-* and what is left: a list of terms without function words.
+* recurrence gaps: the share of the block in terms (signs, and runs of ``RUN`` words or characters) that come
+  again at gaps of at most ``MAX_LAG`` places;
+* positional autocorrelation: the share of places that hold the same term as the place a lag before, at the best
+  lag of the window;
+* distinct nouns: many short items next to no function words, all different.
 
-The term lists are judged by recurrence: the gaps at which terms come again and the positional
-autocorrelation of the term sequence over a window of lags.  Prose repeats its words irregularly, stuffed
-lists at short and regular gaps; a list whose terms are all different counts as a list when it has many
-short items and next to no function words.  A page is flagged when more than half of its characters lie
-in such lists.
+The shapes of links, hosts, tags and products only cut the text into terms; without the three signals no page is
+flagged.  A page is flagged when more than half of its characters lie in blocks that a signal holds for lists.
 
 Cases: a null, empty or blank text is never flagged; lists of sources under prose, glossaries, logs, code
 and terminal output don't count; repeated documents are judged each for itself.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 
 SHARE = 0.5
 MAX_LAG = 64
+#: Words, or Chinese characters, of a run that counts as one recurring term.
+RUN_WORDS, RUN_CHARS = 3, 4
+#: Which signals are looked at.
+SIGNALS = frozenset({"gaps", "lags", "nouns"})
 #: Lines of context on either side in which the kind of a short line is settled.
 AROUND = 3
 
@@ -65,7 +72,7 @@ _LABEL = re.compile(r"^\s*[^：:，,。|#]{1,12}[：:]\s*")
 _COUNT = re.compile(r"[（(]\d+[)）]")
 _SPACED = re.compile(r"(?:\S {1,2}){8,}\S")
 
-LIST, MACHINE, PROSE, TERMS, SOURCE = "list", "machine", "prose", "terms", "source"
+LIST, MACHINE, PROSE, TERMS, SOURCE, STATED = "list", "machine", "prose", "terms", "source", "stated"
 
 
 @lru_cache(maxsize=8)
@@ -84,140 +91,217 @@ def close_up(line: str) -> str:
     return line
 
 
-def kind_of(line: str) -> str:
-    line = close_up(line)
-    urls = _URL.findall(line) if "://" in line or "www." in line.lower() else []
-    bare = _URL.sub(" ", line) if urls else line
-    words = "" if not urls else _MARKUP.sub(" ", re.sub(r"<a\s[^>]*>", " ", bare)).strip()
-    if urls:
-        if _REFERENCE.match(line):
-            return SOURCE
-        anchored = len(words) <= 48 * len(urls)
-        if not re.search(r"[。？！]", words) and (anchored or function_share(words) < 0.12):
-            return LIST
-    # A line of sentences needs no closer look.
-    if "#" not in bare and function_share(bare) >= 0.3 and _SENTENCE.search(bare):
-        return PROSE
-    hosts = [h for h in _HOST.findall(bare) if not _FILE.search(h)] if "." in bare else []
-    if hosts and sum(map(len, hosts)) >= 0.6 * len(re.sub(r"\s", "", bare)):
-        return LIST
-    tags = _TAG.findall(bare) if "#" in bare else []
-    if tags and sum(map(len, tags)) >= 0.6 * len(bare.strip()):
-        return LIST
-    products = _PRODUCT.findall(bare) if "-" in bare else []
-    if products and len(bare) / len(products) < 90 and not re.search(r"[。？！]", bare):
-        if function_share(_PRODUCT.sub(" ", bare)) < 0.2 and _ITEM.search(_PRODUCT.sub("", bare).strip()):
-            return LIST
-    hits = _MACHINE.findall(bare)
-    if hits and len(bare) / len(hits) < 140:
-        return MACHINE
-    if _SENTENCE.search(bare):
-        items = [x for x in _ITEM.split(bare) if x.strip()]
-        if not (len(items) >= 6 and function_share(bare) < 0.08 and not re.search(r"[。？]|\.\s", bare)):
-            return PROSE
-    if _LABEL.match(bare):
-        items = [x.strip() for x in _ITEM.split(_LABEL.sub("", bare)) if x.strip()]
+_LINK, _SITE, _LABELLED, _GOODS = "\ue000", "\ue001", "\ue002", "\ue003"
+_SIGNS = _LINK + _SITE + _LABELLED + _GOODS
+_TERM = re.compile(rf"[{_SIGNS}]|[a-z0-9']+|[⺀-鿿]", re.I)
+_SIGN = re.compile(f"[{_SIGNS}]")
+
+
+def signed(line: str) -> tuple[str, list[int]]:
+    """The line with a sign for each link, host, tag and product number, and the lengths of what they stand for."""
+    found: list[int] = []
+
+    def put(sign: str):
+        def sub(m: re.Match) -> str:
+            if sign == _SITE and _FILE.search(m[0]):
+                return m[0]
+            found.append(len(m[0]))
+            return f" {sign} "
+
+        return sub
+
+    if "://" in line or "www." in line or "WWW." in line:
+        line = re.sub(r"<a\s[^>]*?((?:https?://|www\.)[^\s<>\"']+)[^>]*>", r" \1 ", line)
+        line = _URL.sub(put(_LINK), line)
+        line = _MARKUP.sub(" ", line)
+    if "." in line:
+        line = _HOST.sub(put(_SITE), line)
+    if "#" in line:
+        line = _TAG.sub(put(_LABELLED), line)
+    if "-" in line:
+        line = _PRODUCT.sub(put(_GOODS), line)
+    return line, found
+
+
+@dataclass
+class Line:
+    """A line with content: its kind so far, its terms as signs and words, and how many characters it has."""
+
+    text: str
+    kind: str
+    terms: str = ""
+    stands: tuple[int, ...] = ()
+
+
+def read_line(raw: str, fenced: bool) -> Line:
+    """The kind that the line's own form tells; TERMS for all that the signals have to judge."""
+    line = close_up(raw)
+    if fenced:
+        return Line(raw, MACHINE)
+    if _REFERENCE.match(line):
+        return Line(raw, SOURCE, *signed(line))
+    terms, stands = signed(line)
+    words = _SIGN.sub(" ", terms) if stands else line
+    share = function_share(words)
+    sentences = bool(_SENTENCE.search(words))
+    if stands:
+        # Signs amid sentences are prose; beside short words they are terms.
+        many = sum(stands) >= 0.6 * len(re.sub(r"\s", "", line)) or len(words) <= 90 * len(stands)
+        if many and not re.search(r"[。？！]", words) and share < 0.2 + 0.1 * (sum(stands) >= 0.5 * len(line.strip())):
+            return Line(raw, TERMS, terms, tuple(stands))
+    hits = _MACHINE.findall(words)
+    if hits and len(words) / len(hits) < 140:
+        return Line(raw, MACHINE, terms, tuple(stands))
+    if sentences and share < 0.08 and not re.search(r"[。？]|\.\s", words) and len([x for x in _ITEM.split(words) if x.strip()]) >= 6:
+        return Line(raw, TERMS, terms, tuple(stands))  # items parted by marks
+    if share < FEW and sentences:
+        # Sentences without function words are terms in disguise; the signals will tell.
+        return Line(raw, STATED, terms, tuple(stands))
+    if sentences:
+        return Line(raw, PROSE)
+    if _LABEL.match(words):
+        items = [x.strip() for x in _ITEM.split(_LABEL.sub("", words)) if x.strip()]
         if len(items) <= 12 and len(set(items)) == len(items):
-            return PROSE  # a label with its few values
-    return PROSE if function_share(bare) >= (0.34 if len(bare) < 60 else 0.25) else TERMS
-
-
-def recurrence(tokens: list[str], max_lag: int = MAX_LAG) -> tuple[float, float]:
-    """The share of tokens that come again within ``max_lag`` places, and the highest autocorrelation of
-    the sequence over the lags: the share of places i with the same token at i and i + lag."""
-    if len(tokens) < 8:
-        return 0.0, 0.0
-    _, ids = np.unique(np.array(tokens), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    gaps = np.diff(order)
-    again = (np.diff(ids[order]) == 0) & (gaps <= max_lag)
-    lags = range(1, min(max_lag, len(ids) // 2) + 1)
-    return float(again.sum()) / len(ids), max(float((ids[k:] == ids[:-k]).mean()) for k in lags)
-
-
-def echoed(tokens: list[str], n: int = 4, max_lag: int = MAX_LAG) -> float:
-    """The share of tokens that lie in a run of ``n`` tokens which comes again within ``max_lag`` places."""
-    if len(tokens) < 2 * n:
+            return Line(raw, PROSE)  # a label with its few values
+    return Line(raw, PROSE if share >= (0.34 if len(words) < 60 else 0.25) else TERMS, terms, tuple(stands))
+
+
+def sequence(lines: list[Line]) -> tuple[list[str], np.ndarray]:
+    """The terms of the lines in order, and the characters that each stands for."""
+    terms, size = [], []
+    for line in lines:
+        stands = iter(line.stands)
+        for t in _TERM.findall(line.terms.lower()):
+            terms.append(t)
+            size.append(next(stands, 1) if t in _SIGNS else len(t))
+    return terms, np.array(size, np.float64)
+
+
+def recurring(terms: list[str], size: np.ndarray, run: int, max_lag: int = MAX_LAG) -> float:
+    """The share of the characters in terms that come again, before or after, within ``max_lag`` places: signs by
+    themselves, words and characters in runs of ``run``."""
+    if len(terms) < 2:
         return 0.0
-    _, ids = np.unique(np.array(tokens), return_inverse=True)
-    grams = np.lib.stride_tricks.sliding_window_view(ids, n)
-    _, gram_ids = np.unique(grams, axis=0, return_inverse=True)
-    order = np.argsort(gram_ids, kind="stable")
-    again = (np.diff(gram_ids[order]) == 0) & (np.diff(order) <= max_lag)
+    _, ids = np.unique(np.array(terms), return_inverse=True)
     marked = np.zeros(len(ids) + 1, np.int32)
-    for at in (order[1:][again], order[:-1][again]):
-        np.add.at(marked, at, 1)
-        np.add.at(marked, at + n, -1)
-    return float((np.cumsum(marked)[:-1] > 0).mean())
+    sign = np.array([t in _SIGNS for t in terms])
+
+    def mark(keys: np.ndarray, at: np.ndarray, length: int) -> None:
+        order = np.argsort(keys, kind="stable")
+        same = np.diff(keys[order]) == 0
+        gaps = np.diff(at[order])
+        near = same & (gaps <= max_lag)
+        for side in (at[order][1:][near], at[order][:-1][near]):
+            np.add.at(marked, side, 1)
+            np.add.at(marked, side + length, -1)
+
+    if sign.any():
+        mark(ids[sign], np.flatnonzero(sign), 1)
+    if len(ids) >= 2 * run:
+        grams = np.lib.stride_tricks.sliding_window_view(ids, run)
+        _, gram_ids = np.unique(grams, axis=0, return_inverse=True)
+        mark(gram_ids.ravel(), np.arange(len(gram_ids)), run)
+    return float(size[np.cumsum(marked)[:-1] > 0].sum() / size.sum())
+
+
+def evenness(terms: list[str], max_lag: int = MAX_LAG) -> float:
+    """The highest autocorrelation of the sequence over the lags: the share of places with the same term as
+    the place a lag before."""
+    if len(terms) < 4:
+        return 0.0
+    _, ids = np.unique(np.array(terms), return_inverse=True)
+    return max(float((ids[k:] == ids[:-k]).mean()) for k in range(1, min(max_lag, len(ids) // 2) + 1))
 
 
-def stuffed_sentences(line: str) -> bool:
-    """Whether a line with sentence marks is keywords all the same: their runs echo, function words are few."""
-    if function_share(line) >= 0.16:
-        return False
-    tokens = _TOKEN.findall(line.lower())
-    chinese = sum(t >= "⺀" for t in tokens) * 2 > len(tokens)
-    few = 0.08 if chinese else 0.16
-    return len(tokens) >= 16 and function_share(line) < few and echoed(tokens, 4 if chinese else 3) >= 0.5
+#: Share of function words under which a sentence is none, and the shares from which the signals hold.
+FEW = 0.16
+GAPS, GAPS_STATED, LAGS = 0.5, 0.6, 0.15
 
 
-def stuffed_terms(block: str) -> bool:
-    """Whether a block of term lines is a list of keywords."""
-    if stuffed_sentences(block):
+def holds(lines: list[Line], stated: bool = False) -> bool:
+    """Whether the signals hold the lines for a list."""
+    block = "\n".join(x.terms for x in lines)
+    plain = _SIGN.sub(" ", block) if any(x.stands for x in lines) else block
+    terms, size = sequence(lines)
+    if not terms:
+        return False
+    share = function_share(plain)
+    chinese = sum(t >= "⺀" and t not in _SIGNS for t in terms) * 2 > len(terms)
+    signs = float(size[[t in _SIGNS for t in terms]].sum() / size.sum())
+    # Signs carry no function words: the more of them, the more words of any kind may stand between.
+    few = (0.08 if chinese else FEW) if stated else 0.2 + 0.14 * (signs > 0.3)
+    if share >= few:
+        return False
+    if "gaps" in SIGNALS and (len(terms) >= 16 or signs > 0.3) and recurring(terms, size, RUN_CHARS if chinese else RUN_WORDS) >= (GAPS_STATED if stated else GAPS):
         return True
-    items = [x.strip() for x in _ITEM.split(_COUNT.sub("", block)) if x.strip()]
-    if len(items) < 4:
+    if stated:
         return False
-    tokens = _TOKEN.findall(block.lower())
-    coming_again, regular = recurrence(tokens)
-    short = sum(len(x) <= (12 if x[-1] >= "⺀" else 40) for x in items) / len(items)
-    if coming_again >= 0.35 or regular >= 0.15:
-        return short >= 0.7 and function_share(block) < 0.2
+    items = [x.strip() for x in _ITEM.split(_COUNT.sub("", block)) if x.strip()]
+    short = sum(len(x) <= (12 if x[-1] >= "⺀" else 40) for x in items) / max(1, len(items))
+    if "lags" in SIGNALS and short >= 0.7 and len(items) >= 4 and evenness(terms) >= LAGS:
+        return True
     # all different: many short noun items without function words
-    return len(items) >= 6 and short >= 0.9 and function_share(block) < 0.1
+    return "nouns" in SIGNALS and len(items) >= 6 and short >= 0.9 and share < 0.1
 
 
 def kinds(text: str) -> list[tuple[str, str]]:
     """(kind, line) for the lines with content; term lines end up as list, machine or prose."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    found, fenced = [], False
-    for line in lines:
-        if line.lstrip().startswith("```"):
+    lines: list[Line] = []
+    fenced = False
+    for raw in text.split("\n"):
+        if not raw.strip():
+            continue
+        if raw.lstrip().startswith("```"):
             fenced = not fenced
-            found.append(MACHINE)
+            lines.append(Line(raw, MACHINE))
         else:
-            kind = MACHINE if fenced else kind_of(line)
-            found.append(LIST if kind == PROSE and stuffed_sentences(line) else kind)
-    if SOURCE in found:
-        first = found.index(SOURCE)
-        under_prose = PROSE in found[:first]
-        found = [(SOURCE if under_prose else LIST) if k == SOURCE else k for k in found]
-    at = 0
-    while at < len(found):
-        if found[at] not in (TERMS, LIST):
+            lines.append(read_line(raw, fenced))
+    for x in lines:
+        if x.kind == STATED:
+            x.kind = LIST if holds([x], stated=True) else PROSE
+    # Sources beneath prose are what they are; sources alone are links to be judged.
+    prose = False
+    for x in lines:
+        prose = prose or x.kind == PROSE
+        if x.kind == SOURCE and not prose:
+            x.kind = TERMS
+    at, unsure = 0, []
+    while at < len(lines):
+        if lines[at].kind != TERMS:
             at += 1
             continue
         end = at
-        while end < len(found) and found[end] in (TERMS, LIST):
+        while end < len(lines) and lines[end].kind == TERMS:
             end += 1
-        region = [k for k in range(at, end) if found[k] == TERMS]
-        block = "\n".join(close_up(lines[k]) for k in region)
-        listed = end - at - len(region)
-        near = found[max(0, at - AROUND) : at] + found[end : end + AROUND]
+        region = lines[at:end]
+        near = [x.kind for x in lines[max(0, at - AROUND) : at] + lines[end : end + AROUND]]
         machine = near.count(MACHINE) * 2 > len(near)
-        if listed >= 2 and function_share(block) < 0.34:
-            kind = LIST
-        elif near and near.count(LIST) * 2 >= len(near) and function_share(block) < 0.3 and not _SENTENCE.search(block):
-            kind = LIST
-        elif stuffed_terms(block):
+        if holds(region):
             # bare status lines in the midst of machine output
-            kind = MACHINE if machine and len(block) < 60 and len(region) < 4 else LIST
+            few = machine and not any(x.stands for x in region) and sum(len(x.terms) for x in region) < 60 and len(region) < 4
+            kind = MACHINE if few else LIST
         else:
             kind = MACHINE if machine else PROSE
-        for k in region:
-            found[k] = kind
+            unsure.append((at, end))
+        for x in region:
+            x.kind = kind
         at = end
-    return list(zip(found, lines, strict=True))
+    # Blocks too small to judge alone are judged as one sequence.
+    loose = [(a, b) for a, b in unsure if lines[a].kind != MACHINE]
+    if len(loose) > 1 and any(x.stands for a, b in loose for x in lines[a:b]):
+        together = [x for a, b in loose for x in lines[a:b]]
+        if holds(together):
+            for x in together:
+                x.kind = LIST
+            unsure = [x for x in unsure if x not in loose]
+    # A block too small to judge goes with the lists around it, if it has as few function words.
+    for at, end in unsure:
+        near = [x.kind for x in lines[max(0, at - AROUND) : at] + lines[end : end + AROUND]]
+        block = "\n".join(x.terms for x in lines[at:end])
+        if near and near.count(LIST) * 2 >= len(near) and function_share(_SIGN.sub(" ", block)) < 0.3 and not _SENTENCE.search(block):
+            for x in lines[at:end]:
+                x.kind = LIST
+    return [(x.kind, x.text) for x in lines]
 
 
 def stuffed_share(text: str) -> float:

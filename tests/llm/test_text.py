@@ -129,10 +129,22 @@ def test_fine(name):
     assert stuffing.stuffed_share(FINE[name]) <= 0.5
 
 
-def test_recurrence():
-    again, regular = stuffing.recurrence(list("abcabcabcabc"))
-    assert again == 9 / 12 and regular == 1.0
-    assert stuffing.recurrence(list("abcdefghijkl")) == (0.0, 0.0)
+def test_signals():
+    size = stuffing.np.ones(12)
+    assert stuffing.evenness(list("abcabcabcabc")) == 1.0 and stuffing.recurring(list("abcabcabcabc"), size, 3) == 1.0
+    assert stuffing.evenness(list("abcdefghijkl")) == 0.0 and stuffing.recurring(list("abcdefghijkl"), size, 3) == 0.0
+    # a sign stands for its characters, and recurs by itself
+    terms, size = stuffing.sequence([stuffing.read_line(f"word{c} https://a.example/{c}", False) for c in "xyz"])
+    assert len(terms) == 6 and size.sum() == 3 * 5 + 3 * 19
+    assert abs(stuffing.recurring(terms, size, 3) - 57 / 72) < 1e-9
+    assert stuffing.recurring(terms, size, 3, max_lag=1) == 0.0
+
+
+@pytest.mark.parametrize("off, least, most", [("", 11, 11), ("gaps", 2, 9), ("lags", 9, 11), ("nouns", 8, 11), ("gaps lags nouns", 0, 0)])
+def test_without_signals_nothing_is_flagged(monkeypatch, off, least, most):
+    monkeypatch.setattr(stuffing, "SIGNALS", stuffing.SIGNALS - set(off.split()))
+    flagged = [n for n in SPAM if stuffing.stuffed_share(SPAM[n]) > 0.5]
+    assert len(SPAM) == 11 and least <= len(flagged) <= most, flagged
 
 
 def test_stuffed_documents(spark):
