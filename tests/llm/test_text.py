@@ -83,6 +83,64 @@ def test_skip_edges_carry_a_cue(lexicon):
     assert belief[1] > 0 > belief[2] and belief[0] > 0
     clash = pii.settle([sure, pii.Mention(1, 4, "address", 6.0, "x")], 1.5)
     assert clash[0] < 0 < clash[1]
+    side = [pii.Mention(0, 3, "person_name", -0.5, "甲乙丙"), pii.Mention(4, 15, "phone", 4.0, "13912345678")]
+    assert pii.settle(side, 1.5, chain=0.8)[0] > 0 > pii.settle(side, 1.5, chain=0.0)[0]
+
+
+# Each name is announced once and comes again amid words that tell nothing; all its characters are common elsewhere.
+AGAIN = ["说理成", "处会平", "式明安", "功时方", "间高会", "排平理", "合成明", "级安时", "台方高", "确会成"]
+
+
+def test_skip_edges_decide_repeats(spark):
+    filler = "会议说明了处理方式，常常成功，时间安排合理，高级平台明确，平时安全方面也常见。"
+    docs = [f"报告人：{n}\n{filler * 3}{x}与{n}整理，{filler}" for n, x in zip(AGAIN, "甲乙丙丁戊己庚辛壬癸", strict=True)]
+    texts = spark.createDataFrame([(t,) for t in [*docs, *SEEDS * 3, *[filler] * 100]], "text string")
+    lex = pii.lexicon_of(texts)
+
+    def found(weight):
+        lex.skip = weight
+        return sum(len([m for m in pii.mentions_in(t, lex) if t[m.start : m.end] == n]) for t, n in zip(docs, AGAIN, strict=True))
+
+    assert lex.skip > 1.0
+    # Of the twenty mentions nineteen; without skip edges the announced ten and two: seven repeats are lost.
+    assert found(lex.skip) == 19
+    assert found(0.0) == 12
+
+
+def test_other_forms(spark):
+    seeds = ["Author: John Smith <j@a.test>", "name: José Álvarez", "姓名：镡小明", "committer Mary Smith", "name: John Brown", "shipTo: 14 Alder Road, Lower Quarne", "shipTo: 9 Beech Lane, Tamsel", "shipTo: 77 Mill Street"]
+    noise = ["The Image Was Rebuilt 12 Times. Step Through Every Case. 说明小组明天开会。Build 1234567 done", "shipTo nothing. See Question Two And Line 18 Above"]
+    lex = pii.lexicon_of(spark.createDataFrame([(t,) for t in seeds * 5 + noise * 10], "text string"))
+    cases = {
+        "signed JOHN SMITH, today": ("person_name", "JOHN SMITH"),
+        "list: Smith, John; rest": ("person_name", "Smith, John"),
+        "we met José Álvarez there": ("person_name", "José Álvarez"),
+        "姓名：镡小明": ("person_name", "镡小明"),
+        "shipTo: 12 Harbour View": ("address", "12 Harbour View"),
+        "shipTo: 15 rue de Rivoli": ("address", "15 rue de Rivoli"),
+        "write to joe AT foo DOT com now": ("email", "joe AT foo DOT com"),
+    }
+    for text, (kind, said) in cases.items():
+        assert (kind, said) in {(m.kind, text[m.start : m.end]) for m in pii.mentions_in(text, lex)}, text
+    # The same form where nothing speaks for it.
+    assert not pii.mentions_in("Step 12 Harbour View done", lex)
+
+
+def test_contexts_are_learned_and_can_reject(spark):
+    good = [f"证件 {GOOD}", "通讯 13912345678"] * 20
+    bad = [f"流水 {BAD}", "流水 991991092637318614"] * 40
+    lex = pii.lexicon_of(spark.createDataFrame([(t,) for t in good + bad], "text string"))
+    assert lex.context("id_number", "流水") < 0 < lex.context("id_number", "证件")
+    assert {m.kind for m in pii.mentions_in("证件 2021880362", lex)} == {"id_number"}
+    assert not pii.mentions_in("流水 2021880362", lex)
+
+
+def test_hashed_counters_agree(spark):
+    rows = [(f"w{i}", i + 1, 2 * i) for i in range(50)] + [("w字", 7, 0)]
+    got = {(r["row"], r["at"]): (r["inside"], r["other"]) for r in pii.hashed(spark.createDataFrame(rows, pii.COUNTS))}
+    for key, inside, other in rows:
+        for row, at in enumerate(pii.buckets(key)):
+            assert got[row, at] == (inside, other)
 
 
 def test_check_character():
