@@ -36,16 +36,15 @@ def slug(text: Column, longest: int = 120, fallback: str = "item") -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of HTML: scripts and styles dropped, block ends as line breaks, entities decoded."""
-    s = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", "")
-    s = F.regexp_replace(s, r"(?is)<style\b[^>]*>.*?</style>", "")
-    s = F.regexp_replace(s, r"(?i)</(p|div|li|tr|h[1-6])>|<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Readable text of HTML: scripts, styles and tags to a blank, block ends to line breaks, entities decoded in
+    the order below, blanks and empty lines squeezed, ends trimmed.  A null gives ''."""
+    s = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style).*?</\1>", " ")
+    s = F.regexp_replace(s, r"(?i)</(?:h[1-6]|p|div|li|tr|pre|code)>|<br\s*/?>", "\n")
+    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
         s = F.replace(s, F.lit(entity), F.lit(char))
-    s = F.regexp_replace(s, r"[ \t\r]+", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
-    return F.trim(s)
+    s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
 
 
 def html_escape(text: Column) -> Column:

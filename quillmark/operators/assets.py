@@ -24,9 +24,13 @@ def student_image(src: Column) -> Column:
     return F.coalesce(F.parse_url(src, F.lit("HOST")).rlike(r"^p\d+\.") & F.parse_url(src, F.lit("PATH")).contains("/star/"), F.lit(False))
 
 
+# Parts of a file name that tell decoration.
+DECORATION = "avatar|head|icon|logo|button|btn|emoji|face|loading|blank|default"
+
+
 def answer_image(ok: Column, n_bytes: Column, name: Column) -> Column:
     """Whether a downloaded file is likely part of an answer: not small, not named as decoration."""
-    decoration = F.coalesce(F.lower(name).rlike("icon|logo|avatar|loading|blank"), F.lit(False))
+    decoration = F.coalesce(F.lower(name).rlike(f"(?:^|[/_-])({DECORATION})(?:[/_.-]|$)"), F.lit(False))
     small = F.coalesce((n_bytes > 0) & (n_bytes < LEAST_BYTES), F.lit(False))
     return F.coalesce(ok, F.lit(False)) & ~small & ~decoration
 

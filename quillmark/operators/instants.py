@@ -201,13 +201,15 @@ def normalise_instants(
     book = extend_dictionary(df.select(text_key, zone_key, year_key), path)
     book = book.where(F.col("fixed_ms").isNotNull() | F.col("by_year_ms").isNotNull())
     at = F.lit(None).cast("long") if collected is None else F.unix_millis(F.col(f"r.`{collected}`"))
+    # Rows without a text match nothing; a hash of the row spreads them over the tasks of the join.
+    alone = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[keyed[c] for c in keyed.columns]), F.lit(1024)).cast("string"))
     on = [
-        F.col(f"r.`{text}`") == F.col("d.stamp_text"),
+        F.col("r.__text") == F.col("d.stamp_text"),
         F.col("r.__zone") == F.col("d.stamp_zone"),
         F.col("r.__year") == F.col("d.stamp_year"),
     ]
-    keyed = keyed.withColumns({"__zone": zone_key, "__year": year_key})
+    keyed = keyed.withColumns({"__zone": zone_key, "__year": year_key, "__text": F.coalesce(keyed[text], alone)})
     late = F.array_max(F.filter(F.col("d.by_year_ms"), lambda x: x <= at))
     rows = keyed.alias("r").join(book.alias("d"), on, "left")
-    kept = [F.col(f"r.`{c}`") for c in keyed.columns if c not in ("__zone", "__year")]
+    kept = [F.col(f"r.`{c}`") for c in keyed.columns if c not in ("__zone", "__year", "__text")]
     return rows.select(*kept, F.coalesce(F.col("d.fixed_ms"), late).alias(out))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators.positions import running_totals
+
 
 def last_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest ``order``; the aggregation combines before the shuffle, so that a
@@ -24,18 +26,27 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def competition_rank(df: DataFrame, group: Sequence[str], value: Column, out: str = "rank") -> DataFrame:
-    """Ranks from the highest value down; ties share a rank and leave a gap."""
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(value.desc())))
+    """Ranks from the highest value down, nulls last; ties share a rank and leave a gap.
+
+    The distinct values of a group are counted first, running totals of the counts give their ranks, and the rows
+    get theirs by a join: no window holds a group, whatever its size."""
+    rows = df.withColumn("__v", value)
+    levels = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_totals(levels, group, [F.col("__v").desc()], F.col("__n"), out="__upto", total=None)
+    placed = placed.select(*group, "__v", (F.col("__upto") - F.col("__n") + 1).cast("int").alias(out))
+    on = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in (*group, "__v")]
+    return rows.drop(out).alias("r").join(placed.alias("s"), on).select(*[F.col(f"r.`{c}`") for c in df.columns if c != out], F.col(f"s.`{out}`"))
 
 
 def position_share(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Each row's position in its group and its share of the group's rows; ties get positions by ``order``."""
-    w = Window.partitionBy(*group)
-    at = F.row_number().over(w.orderBy(*order))
-    return df.withColumns({"position": at, "share": at / F.count(F.lit(1)).over(w)})
+    """Each row's position in its group and its share of the group's rows; ties get positions by ``order``.
+    Exact running totals over ranges of the sorted rows: a group of any size lies in many tasks."""
+    placed = running_totals(df, group, order, out="position", total="__n")
+    return placed.withColumn("share", F.col("position") / F.col("__n")).drop("__n")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "place") -> DataFrame:
+    """The first ``k`` rows of each group; each task keeps but k of a group before the shuffle."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(out) <= k)
 
 

@@ -2,7 +2,8 @@
 
 * Set similarity by prefix filter: with the values ordered from rare to frequent, two sets at or above the
   threshold share a value among the first |x| - ceil(t |x|) + 1 of each.
-* Hamming distance by pigeonhole: codes within distance d share one of d + 1 blocks.
+* Hamming distance by pigeonhole: codes within distance d differ by at most one bit in one of
+  ceil((d + 1) / 2) blocks.
 * Containment by the inverted index over values that aren't common.
 
 No pair above the threshold is lost.
@@ -54,13 +55,21 @@ def text_pairs(docs: DataFrame, ident: str, text: str, within: list[str], thresh
 
 
 def code_pairs(codes: DataFrame, code: str, distance: int) -> DataFrame:
-    """(a, b, distance) for distinct 64-bit codes at most ``distance`` apart, a < b."""
-    blocks = distance + 1
+    """(a, b, distance) for distinct 64-bit codes at most ``distance`` apart, a < b.
+
+    Half as many blocks as there are differing bits and one, each twice as long: in one of them two such codes
+    differ by one bit at most, so that one side brings each block also with each of its bits changed.  At a
+    distance of 5 a block has 21 bits, two million buckets in place of some thousand."""
+    blocks = (distance + 2) // 2
     edges = [round(k * 64 / blocks) for k in range(blocks + 1)]
     x = codes.select(F.col(code).alias("c")).where("c is not null").distinct()
     pieces = [F.shiftrightunsigned(F.shiftleft("c", edges[k]), 64 - edges[k + 1] + edges[k]) for k in range(blocks)]
     keyed = x.select("c", F.posexplode(F.array(*pieces)).alias("k", "piece"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    widths = F.array(*[F.lit(edges[k + 1] - edges[k]) for k in range(blocks)])
+    one_off = F.transform(F.sequence(F.lit(0), F.get(widths, F.col("k")) - 1), lambda i: F.col("piece").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    own = F.array(F.col("piece"))
+    b = keyed.select("c", "k", F.explode(F.concat(own, one_off) if distance else own).alias("piece")).alias("b")
+    a = keyed.alias("a")
     d = hamming(F.col("a.c"), F.col("b.c"))
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.c") < F.col("b.c")) & (d <= distance)
     return a.join(b, on).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"), d.alias("distance")).distinct()
@@ -129,10 +138,11 @@ def ratio_matches(points: DataFrame, ident: str, vector: str, image: str, ratio:
     q = points.where(F.col(ident) % 100 == 0).select(F.col(ident).alias("from_id"), F.col(vector).alias("u"), F.col(image).alias("i"))
     p = points.select(F.col(ident).alias("to_id"), F.col(vector).alias("v"), F.col(image).alias("j"))
     square = F.aggregate(F.zip_with("u", "v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    d = q.join(p, F.col("i") != F.col("j")).select("from_id", F.struct(F.sqrt(square).alias("d"), "to_id").alias("n"))
-    # The two nearest by partial aggregation; no query's distances meet in one task.
-    two = F.slice(F.array_sort(F.collect_list("n")), 1, 2)
-    per = d.withColumn("part", F.pmod(F.xxhash64("n.to_id"), F.lit(16))).groupBy("from_id", "part").agg(F.min("n").alias("one"), two.alias("two"))
-    near = per.groupBy("from_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("two"))), 1, 2).alias("two")).where(F.size("two") == 2)
+    d = q.join(p, F.col("i") != F.col("j")).select("from_id", F.sqrt(square).alias("d"), "to_id")
+    # Each task keeps but two rows of a query before the shuffle (a limit on the rank in the window), so that the
+    # window gets at most twice as many rows of a query as there are tasks.
+    at = F.row_number().over(Window.partitionBy("from_id").orderBy("d", "to_id"))
+    two = d.withColumn("at", at).where("at <= 2").groupBy("from_id").agg(F.array_sort(F.collect_list(F.struct("d", "to_id"))).alias("two"))
+    near = two.where(F.size("two") == 2)
     share = F.col("two")[0]["d"] / F.col("two")[1]["d"]
     return near.select("from_id", F.col("two")[0]["to_id"].alias("to_id"), half_up(F.col("two")[0]["d"], 4).alias("distance"), half_up(share, 4).alias("ratio")).where(share < ratio)

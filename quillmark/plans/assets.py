@@ -153,7 +153,7 @@ with x as (select *, {_OID} oid from assets),
 n as (select count(distinct work_answer_id) n from x where ok),
 common as (select oid from (select distinct work_answer_id, oid from x where ok and oid is not null), n group by oid, n.n having count(*) >= 5 and count(*) >= 0.2 * n.n),
 m as (select *, coalesce(ok, false) and not coalesce(n_bytes > 0 and n_bytes < 5000, false)
-   and not coalesce(regexp_matches(lower(file_name), 'icon|logo|avatar|loading|blank'), false) and {_STUDENT} good,
+   and not coalesce(regexp_matches(lower(file_name), '(^|[/_-])(avatar|head|icon|logo|button|btn|emoji|face|loading|blank|default)([/_.-]|$)'), false) and {_STUDENT} good,
    coalesce(oid in (select oid from common), false) shared from x)
 select work_answer_id, count(*) assets, count(*) filter (good and not shared) kept, count(*) filter (not good) removed,
   count(*) filter (good and shared) removed_common from m group by 1""",

@@ -10,7 +10,7 @@ from quillmark.functions.scalars import half_up
 from quillmark.operators import rows
 from quillmark.operators.common import common_values, without_common
 from quillmark.operators.components import components
-from quillmark.operators.similarity import average_hash, containment_pairs, rare_containment_pairs, ratio_matches, text_pairs
+from quillmark.operators.similarity import average_hash, rare_containment_pairs, ratio_matches, text_pairs
 from quillmark.session import scratch_path
 from quillmark.sources.tables import table
 
@@ -162,7 +162,7 @@ def evidence_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of submissions whose rarer evidence tokens are contained in each other's."""
     v = table(spark, sf_dir, "vision").select("work_answer_id", F.explode(evidence_tokens(F.col("extracted_text"))).alias("token"))
-    return containment_pairs(without_common(v, "work_answer_id", "token", 5, 0.01), "work_answer_id", "token", 0.6, 2)
+    return rare_containment_pairs(without_common(v, "work_answer_id", "token", 5, 0.01), "work_answer_id", "token", 0.6, 2)
 
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

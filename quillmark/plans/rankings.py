@@ -15,13 +15,14 @@ NO_CLASS = "未分班"
 
 
 def latest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last draft of each submission, with its assignment, class and score."""
+    """The last draft of each submission, with the assignment and time of its last collection (null for a draft
+    without a submission), its class and score."""
     drafts = rows.last_by(table(spark, sf_dir, "drafts").where("work_answer_id is not null"), ["work_answer_id"], ["draft_id"])
     subs = rows.last_by(table(spark, sf_dir, "submissions"), ["work_answer_id"], ["submit_row"])
     subs = subs.select("work_answer_id", "assignment_id", "collected_at", "submit_row")
     cls = F.coalesce(F.nullif(F.lower(F.trim("class_name")), F.lit("")), F.lit(NO_CLASS))
     student = first_filled(F.col("student_no"), F.col("student_name"), F.col("work_answer_id"))
-    return drafts.join(subs, "work_answer_id").withColumns({"cls": cls, "student": student, "score": F.coalesce("draft_score", F.lit(0.0))})
+    return drafts.join(subs, "work_answer_id", "left").withColumns({"cls": cls, "student": student, "score": F.coalesce("draft_score", F.lit(0.0))})
 
 
 _LATEST = """
@@ -32,7 +33,7 @@ latest as (
     coalesce(d.draft_score, 0.0) score
   from (select * from drafts where work_answer_id is not null
         qualify row_number() over (partition by work_answer_id order by draft_id desc) = 1) d
-  join (select * from submissions qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1) s
+  left join (select * from submissions qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1) s
   using (work_answer_id))
 """
 
@@ -125,10 +126,12 @@ def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed drafts as examples: three of each score from the highest score down, fourteen in all."""
-    d = latest_drafts(spark, sf_dir).where(rows.completed(F.col("status")))
-    three = rows.top_k(d, ["score"], [F.col("draft_id")], 3)
-    return three.orderBy(F.desc("score"), "draft_id").limit(14).select("draft_id", "score", F.col("place").cast("long").alias("place"))
+    """Completed drafts as examples: of each score the three with the most images, from the highest score down,
+    fourteen in all."""
+    n = table(spark, sf_dir, "assets").groupBy("work_answer_id").agg(F.count(F.lit(1)).alias("images"))
+    d = latest_drafts(spark, sf_dir).where(rows.completed(F.col("status"))).join(n, "work_answer_id", "left").na.fill(0, ["images"])
+    three = rows.top_k(d, ["score"], [F.desc("images"), F.col("draft_id")], 3)
+    return three.orderBy(F.desc("score"), "place").limit(14).select("draft_id", "score", "images", F.col("place").cast("long").alias("place"))
 
 
 def draft_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +262,10 @@ with {_LATEST}, {_NUMERAL}, one as (select * from latest qualify row_number() ov
 select cls, student, string_agg(assignment_key || ':' || trunc(score * 10)::bigint::varchar, ' | ' order by "at", assignment_id) scores
 from one join numeral using (assignment_id) group by 1, 2""",
     "calibration_examples": f"""
-with {_LATEST}, three as (select draft_id, score, row_number() over (partition by score order by draft_id) place from latest
-  where regexp_matches(status, '已完成|已批') qualify place <= 3)
-select * from three order by score desc, draft_id limit 14""",
+with {_LATEST}, n as (select work_answer_id, count(*) images from assets group by 1),
+three as (select draft_id, score, coalesce(images, 0) images, row_number() over (partition by score order by coalesce(images, 0) desc, draft_id) place
+  from latest left join n using (work_answer_id) where regexp_matches(status, '已完成|已批') qualify place <= 3)
+select * from three order by score desc, place limit 14""",
     "draft_counts": f"""
 with {_LATEST}, c as (select assignment_id, count(*) drafts, count(*) filter (regexp_matches(status, '已完成|已批')) done,
   count(*) filter (regexp_matches(status, '待批阅|重做待批阅|批阅') and not regexp_matches(status, '已完成|已批|查看')) waiting,

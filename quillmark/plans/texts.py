@@ -119,10 +119,10 @@ select doc_id, md5({_BARE}) bare, length({_BARE}) bare_chars,
   md5(coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '), '[\\/:*?"<>|]+', '_', 'g'), '{_WS}+', '_', 'g'), '_+', '_', 'g'), 1, 80), ''), 'item')) slug,
   substr({_squeeze("text")}, 1, 40) head from documents""",
     "html_texts": r"""
-with a as (select doc_id, text, regexp_replace(regexp_replace(text, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g') s from documents),
-b as (select doc_id, text, regexp_replace(regexp_replace(s, '(?i)</(p|div|li|tr|h[1-6])>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') s from a),
-c as (select doc_id, text, replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') s from b),
-d as (select doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(s, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') s from c)
+with a as (select doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') s from documents),
+b as (select doc_id, text, regexp_replace(regexp_replace(s, '(?i)</(h[1-6]|p|div|li|tr|pre|code)>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') s from a),
+c as (select doc_id, text, replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', '''') s from b),
+d as (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$', '', 'g') s from c)
 select doc_id, md5(s) plain, length(s) plain_chars,
   md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) escaped from d""",
     "marked_parts": """

@@ -11,7 +11,7 @@ from quillmark.operators import rows
 from quillmark.operators.common import common_values, shared_value_pairs, without_common
 from quillmark.operators.components import components
 from quillmark.operators.positions import running_totals
-from quillmark.operators.similarity import average_hash, best_match_mean, code_pairs, containment_pairs, text_pairs
+from quillmark.operators.similarity import average_hash, best_match_mean, code_pairs, containment_pairs, ratio_matches, text_pairs
 
 
 def one(spark, value, column):
@@ -25,7 +25,8 @@ def test_scalars(spark):
     assert one(spark, "a\\b｜c  “D”：", scalars.ocr_text(x)) == 'a/b/c "d":'
     assert one(spark, ' a/b:c  d"', scalars.slug(x)) == "a_b_c_d_"
     assert one(spark, "", scalars.slug(x)) == "item"
-    assert one(spark, "<p>a&amp;lt;b</p><script>x</script><br/>c&nbsp;d", scalars.html_text(x)) == "a&lt;b\n\nc d"
+    assert one(spark, "<p>a&amp;lt;b</p><script>x</script><br/>c&nbsp;d", scalars.html_text(x)) == "a&lt;b\n \nc d"  # a script leaves a blank
+    assert one(spark, "a<b>b</b>c<pre>d</pre>e", scalars.html_text(x)) == "a b c d\ne"
     assert one(spark, '<a b="c">\'&', scalars.html_escape(x)) == "&lt;a b=&quot;c&quot;&gt;&#39;&amp;"
     assert one(spark, "=1+1", scalars.csv_guard(x)) == "'=1+1"
     assert one(spark, "-5", scalars.csv_guard(x)) == "'-5"
@@ -71,6 +72,21 @@ def test_ranks(spark):
     assert sorted(r["share"] for r in rows.position_share(df, ["k"], ["v"]).collect()) == [1 / 3, 2 / 3, 1.0, 1.0]
 
 
+def test_ranks_of_hot_groups(spark):
+    rnd = random.Random(8)
+    data = [("hot" if i % 3 else f"g{i % 5}", rnd.choice([None, *range(12)]), i) for i in range(500)] + [(None, 3, 900), (None, 4, 901)]
+    df = spark.createDataFrame(data, "g string, x int, __n int")
+    got = {r["__n"]: r["rank"] for r in rows.competition_rank(df, ["g"], F.col("x")).collect()}
+    low = -1
+    assert got == {i: 1 + sum((y if y is not None else low) > (x if x is not None else low) for h, y, _ in data if h == g) for g, x, i in data}
+
+
+def test_nearest_two(spark):
+    points = spark.createDataFrame([(0, [0.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [2.0, 0.0], 2), (3, [0.1, 0.0], 1), (100, [5.0, 0.0], 3), (200, [9.0, 9.0], None)], "id int, v array<double>, image int")
+    got = [tuple(r) for r in ratio_matches(points, "id", "v", "image").collect()]
+    assert got == [(0, 1, 1.0, 0.5)]
+
+
 def test_running_totals_of_a_hot_group(spark):
     rnd = random.Random(1)
     data = [("hot" if i % 3 else f"g{i % 7}", rnd.randrange(50), i, rnd.randrange(9)) for i in range(600)] + [(None, 1, 1000, 2)]
