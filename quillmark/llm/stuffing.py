@@ -149,6 +149,8 @@ def read_line(raw: str, fenced: bool) -> Line:
         many = sum(stands) >= 0.6 * len(re.sub(r"\s", "", line)) or len(words) <= 90 * len(stands)
         if many and not re.search(r"[。？！]", words) and share < 0.2 + 0.1 * (sum(stands) >= 0.5 * len(line.strip())):
             return Line(raw, TERMS, terms, tuple(stands))
+    if sentences and share >= MOST_FUNCTION and not stands:
+        return Line(raw, PROSE)  # no signal holds at such a share
     hits = _MACHINE.findall(words)
     if hits and len(words) / len(hits) < 140:
         return Line(raw, MACHINE, terms, tuple(stands))
@@ -215,6 +217,8 @@ def evenness(terms: list[str], max_lag: int = MAX_LAG) -> float:
 
 #: Share of function words under which a sentence is none, and the shares from which the signals hold.
 FEW = 0.16
+#: Share of function words from which no signal holds, whatever the block.
+MOST_FUNCTION = 0.34
 GAPS, GAPS_STATED, LAGS = 0.5, 0.6, 0.15
 
 
@@ -229,7 +233,7 @@ def holds(lines: list[Line], stated: bool = False) -> bool:
     chinese = sum(t >= "⺀" and t not in _SIGNS for t in terms) * 2 > len(terms)
     signs = float(size[[t in _SIGNS for t in terms]].sum() / size.sum())
     # Signs carry no function words: the more of them, the more words of any kind may stand between.
-    few = (0.08 if chinese else FEW) if stated else 0.2 + 0.14 * (signs > 0.3)
+    few = (0.08 if chinese else FEW) if stated else MOST_FUNCTION if signs > 0.3 else 0.2
     if share >= few:
         return False
     if "gaps" in SIGNALS and (len(terms) >= 16 or signs > 0.3) and recurring(terms, size, RUN_CHARS if chinese else RUN_WORDS) >= (GAPS_STATED if stated else GAPS):
