@@ -118,6 +118,9 @@ def valid_18(digits: str) -> bool:
     return digits[17].upper() == "10X98765432"[left]
 
 
+_FIRSTS = "".join(sorted(SURNAMES | {c[0] for c in COMPOUND}))
+
+
 def buckets(key: str) -> tuple[int, int]:
     """The counters of a key in the two rows; the same as :func:`hashed` gives in Spark."""
     h = xxhash.xxh64_intdigest(key.encode(), seed=42)
@@ -142,9 +145,17 @@ class Lexicon:
     chain: float = 0.3
     skip: float = 1.5
     _known: dict[str, float] = field(default_factory=dict)
+    _starts: re.Pattern | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_starts": None}
+
+    def starts(self) -> re.Pattern:
+        """Where a surname stands before a character known from names, perhaps with blanks or as the first of two."""
+        if self._starts is None:
+            known = "".join(c for c, odds in self.given.items() if odds > UNSEEN) or "\0"
+            self._starts = re.compile(rf"[{_FIRSTS}](?= ?[{known}]|. ?[{known}]| . ?[{known}])")
+        return self._starts
 
     def _least(self, rows: tuple[dict[int, float], dict[int, float]], key: str, unknown: float) -> float:
         out = self._known.get(key)
@@ -167,16 +178,17 @@ UNSEEN = -3.0
 
 # Cheap signs without which the patterns can't match.
 _IS_WIDE = re.compile("[\uff02-\uff0b\uff0d-\uff19\uff20-\uff5e\u3000\u00a0]")  # commas, colons and the like alone need no folding
-_HAS_AT = re.compile(r"@|[\[({<#] ?at ?[\])}>#]", re.I)
-_HAS_SPELLED = re.compile(r" (?:DOT|dot) ")
-_HAS_DIGITS = re.compile(r"\d{7}|(?:\d[ -]?){9}\d")
+_HAS_AT = re.compile(r"[\[({<#] ?[aA][tT] ?[\])}>#]")
+_HAS_DIGITS = re.compile(r"\d[\d -]{5,}\d")
 _HAS_PHONE = re.compile(r"\d{3,5}[- )]{1,2}\d{3,4}|\d{10}|\+ ?\d")
 _HAS_STREET_ZH = re.compile(r"[路街巷弄同道里坊] ?\d")
 _HAS_STREET_EN = re.compile(r" (?:Lane|Road|Street|Way|Close|Avenue|Drive|Row|Court|Place|Hill|Square|Terrace|Crescent|Gardens|Walk|Grove|Mews|Rd|St|Ave)\b")
-_HAS_CUE = re.compile("|".join(sorted({*CUES_ZH, *CUES_EN.split("|")}, key=len, reverse=True)), re.I)
+_HAS_HOUSE = re.compile(r"\d[A-Za-z]?,? (?:[A-ZÀ-Þ][a-zß-ÿ']|rue |via |calle |de |am |an )")
+_HAS_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
+_CUES = sorted({*CUES_ZH, *CUES_EN.split("|")}, key=len)
 _CAPITAL = re.compile("(?<![A-Za-zÀ-ÿ])[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[- ]?(?:0[1-9]|1[0-2])[- ]?(?:0[1-9]|[12]\d|3[01])|[- ][1-9][- ]\d{1,2}|[- ]\d{1,2}[- ][1-9])(?!\d*-)(?:[- ]?(?:[01]\d|2[0-3]))?(?:[- ]?[0-5]\d){0,2}")
-_FAMILY = re.compile(f"[{''.join(sorted(SURNAMES | {c[0] for c in COMPOUND}))}]")
+_FAMILY = re.compile(f"[{_FIRSTS}]")
 _BETWEEN = " \t:：=（(“\"'<>,，|"
 
 
@@ -228,13 +240,14 @@ def shaped(t: str, lex: Lexicon) -> list[Mention]:
         x = (prior, lex.context(kind, left_of(t, start)))
         out.append(Mention(start, end, kind, w_form * x[0] + w_context * x[1], form, x, sure))
 
-    if _HAS_AT.search(t):
+    if "@" in t or _HAS_AT.search(t):
         for m in EMAIL.finditer(t):
             add(*m.span(), "email", 6.0, m[0].lower(), 1)
-    if _HAS_SPELLED.search(t):
+    if " dot " in t or " DOT " in t:
         for m in SPELLED.finditer(t):
             add(*m.span(), "email", 3.0, re.sub(" +dot +", ".", re.sub(" +at +", "@", m[0].lower())))
-    if _HAS_DIGITS.search(t):
+    digits_in = _HAS_DIGITS.search(t)
+    if digits_in:
         for m in ID_18.finditer(t):
             digits = re.sub("[ -]", "", m[0])
             good = valid_18(digits)
@@ -248,7 +261,7 @@ def shaped(t: str, lex: Lexicon) -> list[Mention]:
             if 10 <= len(digits) <= 15:
                 mobile = len(digits) >= 11 and digits[-11] == "1"
                 add(*m.span(), "phone", 4.5 if mobile or not m[0][0].isdigit() else 3.5, digits, 1)
-    if _HAS_DIGITS.search(t):
+    if digits_in:
         taken = [(m.start, m.end) for m in out if m.odds > -5]
         for m in DIGITS.finditer(t):
             if not any(a < m.end() and m.start() < b for a, b in taken):
@@ -264,14 +277,15 @@ def shaped(t: str, lex: Lexicon) -> list[Mention]:
             if re.search(r"\d", re.sub(r"[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}", "", m[0])):
                 add(*m.span(), "address", 5.0, m[0], 1)
     taken = [(m.start, m.end) for m in out]
-    for m in HOUSE.finditer(t):
+    for m in HOUSE.finditer(t) if _HAS_HOUSE.search(t) else ():
         if not any(a < m.end() and m.start() < b for a, b in taken):
             add(*m.span(), "address", -2.0, m[0], 0)
     return out
 
 
 def announced_names(t: str) -> list[tuple[int, int]]:
-    if not _HAS_CUE.search(t):
+    low = t.lower()
+    if not any(cue in low for cue in _CUES):
         return []
     return [m.span(1) for m in _SEED_ZH.finditer(t)] + [m.span(1) for m in _SEED_EN.finditer(t) if m[1][0].isupper()]
 
@@ -301,7 +315,9 @@ def name_candidates(t: str, lex: Lexicon, others: list[Mention], every: bool = F
         out.append(Mention(i, j, "person_name", score, surname + chars, x, None, cue))
 
     placed = set()
-    for family in _FAMILY.finditer(t):
+    # The places that a cue names are looked at whatever the lexicon knows of them.
+    first_at = _FAMILY if every or seeds else lex.starts()
+    for family in first_at.finditer(t):
         i, c, first = family.start(), family[0], 0
         if t[i : i + 2] in COMPOUND:
             first = 2
@@ -339,7 +355,7 @@ def name_candidates(t: str, lex: Lexicon, others: list[Mention], every: bool = F
                     placed.add((i, i + len(form)))
                     chinese(i, i + len(form), *two, " " in form)
                 i = t.find(form, i + 1)
-    for m in NAME_EN.finditer(t):
+    for m in NAME_EN.finditer(t) if _HAS_CAPITAL.search(t) else ():
         name = m[1]
         parts = re.split("[ ,]+", name)
         odds = [lex.word(parts[0]), lex.word(parts[-1])]
@@ -425,8 +441,15 @@ def settle(mentions: list[Mention], skip: float, chain: float = 0.0, rounds: int
 
 
 def candidates(t: str, lex: Lexicon) -> list[Mention]:
+    """The variables of a text's field.  One that stays below even odds with all that its edges can bring, at most
+    two skip edges by its text, two by its beginning and a chain edge to either side, can't hold and is left out."""
     found = shaped(t, lex)
-    return found + name_candidates(t, lex, found)
+    found += name_candidates(t, lex, found)
+    if all(m.odds + 2 * lex.chain >= 0 for m in found):
+        return found
+    like = Counter((m.kind, form) for m in found for form in ({m.form, m.form[:2]} if m.kind == "person_name" else {m.form}))
+    alone = lambda m: like[(m.kind, m.form[:2] if m.kind == "person_name" else m.form)] == 1
+    return [m for m in found if m.odds + 2 * lex.chain + (0.0 if alone(m) else lex.skip * 8 / 3) >= 0]
 
 
 def mentions_in(text: str, lex: Lexicon) -> list[Mention]:
@@ -487,20 +510,20 @@ def context_counter(lex: Lexicon):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sure, ruled_out = Counter(), Counter()
-            for text in batch.column(0).to_pylist():
+            for text, n in Counter(batch.column(0).to_pylist()).items():
                 t = fold(text)
                 shapes = shaped(t, lex)
                 for m in shapes:
                     if m.sure is not None:
-                        (sure if m.sure else ruled_out)[f"{m.kind} {left_of(t, m.start)}"] += 1
+                        (sure if m.sure else ruled_out)[f"{m.kind} {left_of(t, m.start)}"] += n
                 names = name_candidates(t, lex, shapes, every=True)
                 good = [m for m in names if m.announced or m.features[2] > 1.0]
                 spans = {(m.start, m.end) for m in good}
                 for m in names:
                     if (m.start, m.end) in spans:
-                        sure[f"person_name {left_of(t, m.start)}"] += 1
+                        sure[f"person_name {left_of(t, m.start)}"] += n
                     elif m.features[2] < 0 and not any(g.start < m.end and m.start < g.end for g in good):
-                        ruled_out[f"person_name {left_of(t, m.start)}"] += 1
+                        ruled_out[f"person_name {left_of(t, m.start)}"] += n
             yield keyed_counts([(k, n, 0) for k, n in sure.items()] + [(k, 0, n) for k, n in ruled_out.items()])
 
     return count
@@ -642,11 +665,13 @@ def tagger(lex: Lexicon):
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, clean = [], []
+            kinds, clean, done = [], [], {}
             for text in batch.column(2).to_pylist():
-                found = mentions_in(text, lex) if text else []
-                kinds.append([{"kind": m.kind, "start": m.start, "end": m.end} for m in found])
-                clean.append(replaced(text, found) if text else text)
+                if text not in done:
+                    found = mentions_in(text, lex) if text else []
+                    done[text] = [{"kind": m.kind, "start": m.start, "end": m.end} for m in found], replaced(text, found) if text else text
+                kinds.append(done[text][0])
+                clean.append(done[text][1])
             spans = pa.array(kinds, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, pa.array(clean, pa.string())], names=["field_name", "row_id", "mentions", "redacted"])
 
