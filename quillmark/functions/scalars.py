@@ -24,7 +24,7 @@ def bare_text(text: Column) -> Column:
 
 def ocr_text(text: Column) -> Column:
     """OCR output made uniform: slashes, quotes and colons in one form, blanks squeezed, lower case."""
-    same = F.translate(F.coalesce(text, F.lit("")), "\\｜“”‘’：", "//\"\"'':")
+    same = F.translate(F.coalesce(text, F.lit("")), "\\｜“”‘’`：", "//\"\"''':")
     return F.lower(squeeze(same))
 
 
@@ -47,6 +47,20 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
 
 
+def cleaned_comment(html: Column, longest: int = 500) -> Column:
+    """:func:`html_text` without replacement characters, blanks within lines squeezed, cut to ``longest``."""
+    inner = WS.replace(r"\s", r"\t\f ")
+    s = F.regexp_replace(F.replace(html_text(html), F.lit("\ufffd"), F.lit("")), f"{inner}+", " ")
+    return F.substring(F.regexp_replace(s, f"^{WS}+|{WS}+$", ""), 1, longest)
+
+
+def metric(name: str, places: int = 4) -> Column:
+    """A number as text with at most ``places`` places, closing zeros left out; '' for none."""
+    x = F.col(name)
+    text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x), "0+$", ""), r"\.$", "")
+    return F.when(x.isNull() | F.isnan(x), "").otherwise(text)
+
+
 def html_escape(text: Column) -> Column:
     s = F.coalesce(text, F.lit(""))
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

@@ -105,6 +105,13 @@ def rare_containment_pairs(tokens: DataFrame, record: str, token: str, threshold
     return both.withColumn("containment", share).where(F.col("containment") >= threshold).select("a", "b", "shared", "containment")
 
 
+def best_of_each(a: Column, b: Column) -> Column:
+    """For each 64-bit code of the shorter list (the first where equal), the highest likeness to one of the other."""
+    short = F.when(F.size(a) <= F.size(b), a).otherwise(b)
+    long = F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    return F.transform(short, lambda x: F.array_max(F.transform(long, lambda y: 1 - hamming(x, y) / 64)))
+
+
 def best_match_mean(pairs: DataFrame, hashes: DataFrame, a: str, b: str, record: str, code: str) -> DataFrame:
     """(a, b, mean_best, best) for given pairs of records: for each code of the record with fewer (the first
     where equal), the highest likeness 1 - distance / 64 to the other's codes; their mean, and the best of all.
@@ -114,10 +121,7 @@ def best_match_mean(pairs: DataFrame, hashes: DataFrame, a: str, b: str, record:
     h = h.groupBy("r").agg(F.collect_list("c").alias("cs"))
     p = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     p = p.join(h.toDF("a", "ca"), "a").join(h.toDF("b", "cb"), "b")
-    short = F.when(F.size("ca") <= F.size("cb"), F.col("ca")).otherwise(F.col("cb"))
-    long = F.when(F.size("ca") <= F.size("cb"), F.col("cb")).otherwise(F.col("ca"))
-    best = F.transform(short, lambda x: F.array_max(F.transform(long, lambda y: 1 - hamming(x, y) / 64)))
-    out = p.withColumn("likeness", best)
+    out = p.withColumn("likeness", best_of_each(F.col("ca"), F.col("cb")))
     mean = F.aggregate("likeness", F.lit(0.0), lambda s, x: s + x) / F.size("likeness")
     return out.select("a", "b", half_up(mean, 4).alias("mean_best"), half_up(F.array_max("likeness"), 4).alias("best"))
 

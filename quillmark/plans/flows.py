@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.operators import rows
 from quillmark.session import scratch_path
 from quillmark.sources import readers, sinks
 from quillmark.sources.tables import table
@@ -34,12 +35,23 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.when(F.col("bad"), "broken").otherwise(F.coalesce("model_name", F.lit("none"))).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("bad"), F.col("score"))).alias("score"), F.sum(F.when(~F.col("bad"), F.size("missing_items"))).cast("long").alias("missing"))
 
 
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts written as JSON by status, one folder after the other, and read again: the last file wins for each submission."""
+    d = table(spark, sf_dir, "drafts").where("work_answer_id is not null").select("work_answer_id", "draft_id", "draft_score", "status", "draft_comment")
+    path = scratch_path(spark, "json-files")
+    for n, part in enumerate((d.where("draft_id % 2 = 0"), d.where("draft_id % 2 = 1"))):
+        one = rows.last_by(part, ["work_answer_id"], ["draft_id"])
+        sinks.write_json(one, f"{path}/run-{n}")
+    back = readers.read_json_files(spark, f"{path}/run-*", d.schema, "work_answer_id")
+    return back.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("draft_id").alias("ids"), F.sum(F.length("draft_comment")).alias("chars"))
+
+
 def outbox_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts that may be sent, by status."""
     return sinks.outbox(table(spark, sf_dir, "drafts")).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("work_answer_id").alias("submissions"))
 
 
-QUERIES = {"csv_round_trip": csv_round_trip, "json_round_trip": json_round_trip, "outbox_counts": outbox_counts, "stream_first_seen": first_seen, "stream_daily_counts": daily_counts, "stream_sessions": open_sessions}
+QUERIES = {"csv_round_trip": csv_round_trip, "json_round_trip": json_round_trip, "json_files": json_files, "outbox_counts": outbox_counts, "stream_first_seen": first_seen, "stream_daily_counts": daily_counts, "stream_sessions": open_sessions}
 
 SQL = {
     "csv_round_trip": """
@@ -48,6 +60,9 @@ select coalesce(lower(trim(class_name)), '') cls, count(*) n, count(*) filter (a
     "json_round_trip": """
 select case when vision_id % 100 = 0 then 'broken' else coalesce(model_name, 'none') end model, count(*) n,
   sum(case when vision_id % 100 <> 0 then score end)::bigint score, sum(case when vision_id % 100 <> 0 then len(missing_items) end)::bigint missing from vision group by 1""",
+    "json_files": """
+with d as (select * from drafts where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by draft_id % 2 desc, draft_id desc) = 1)
+select status, count(*) n, sum(draft_id)::bigint ids, sum(length(draft_comment))::bigint chars from d group by 1""",
     "outbox_counts": """
 select status, count(*) n, count(distinct work_answer_id) submissions from drafts
 where not coalesce(skipped, false) and coalesce(review_url, '') <> '' and not coalesce(regexp_matches(status, '已完成|已批'), false) and approved and draft_score > 0 group by 1""",

@@ -109,7 +109,7 @@ def _squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'), ' ')"
 
 
-_OCR = r"translate(coalesce(text, ''), '\｜“”‘’：', '//" + '""' + "'''':')"
+_OCR = r"translate(coalesce(text, ''), '\｜“”‘’`：', '//" + '""' + "'''''':')"
 _GUARD = "case when regexp_matches(coalesce({0}, ''), '^[=+\\-@]') then '''' || {0} else coalesce({0}, '') end"
 
 SQL = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from pyspark.sql.types import StringType, StructType
 
 from quillmark.functions.scalars import magic_mime
@@ -21,10 +23,19 @@ def read_json(spark: SparkSession, path: str, schema: StructType, strict: bool =
 
 def read_json_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """As :func:`read_json`; a path that isn't there gives no rows."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return read_json(spark, path, schema)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], schema)
-    return read_json(spark, path, schema)
+
+
+def read_json_files(spark: SparkSession, path: str, schema: StructType, key: str | None = None, strict: bool = True) -> DataFrame:
+    """Rows of JSON files with the name of each row's file in ``_file``; with a ``key`` the row of the last file by
+    name counts for each, as if the files were read in that order."""
+    rows = read_json(spark, path, schema, strict).withColumn("_file", F.input_file_name())
+    return rows if key is None else last_by(rows, [key], ["_file"])
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
