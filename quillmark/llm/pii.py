@@ -21,7 +21,7 @@ The weights of the features, of the chain and of the skip edges are fitted by ps
 given its neighbours' labels) on the candidates of about ``SAMPLE`` texts, drawn by their hash from all of them,
 with labels from announcements, their repeats, and check characters; weights that the sample tells little about
 stay near their start.  Words and contexts without bound are kept as two rows of ``BUCKETS`` hashed counters, of
-which the lower odds count: none is left out, and what is broadcast has a fixed bound.
+which the one nearer to that of an unknown key counts: none is left out, and what is broadcast has a fixed bound.
 
 Cases: a null or empty text has no mentions and stays as it is; long texts are read whole; repeated rows
 each get their own rows; without any announced name the weights stay at their start values.
@@ -157,21 +157,21 @@ class Lexicon:
             self._starts = re.compile(rf"[{_FIRSTS}](?= ?[{known}]|. ?[{known}]| . ?[{known}])")
         return self._starts
 
-    def _least(self, rows: tuple[dict[int, float], dict[int, float]], key: str, unknown: float) -> float:
+    def _odds(self, rows: tuple[dict[int, float], dict[int, float]], key: str, unknown: float) -> float:
         out = self._known.get(key)
         if out is None:
             i, j = buckets(key)
-            out = min(rows[0].get(i, unknown), rows[1].get(j, unknown)) if i in rows[0] and j in rows[1] else unknown
+            out = min(rows[0][i], rows[1][j], key=lambda odds: abs(odds - unknown)) if i in rows[0] and j in rows[1] else unknown
             if len(self._known) > 200_000:
                 self._known.clear()
             self._known[key] = out
         return out
 
     def word(self, word: str) -> float:
-        return self._least(self.words, "w" + word.lower(), UNSEEN)
+        return self._odds(self.words, "w" + word.lower(), UNSEEN)
 
     def context(self, kind: str, left: str) -> float:
-        return self._least(self.contexts, kind + " " + left, 0.0)
+        return self._odds(self.contexts, kind + " " + left, 0.0)
 
 
 UNSEEN = -3.0
@@ -189,6 +189,7 @@ _CUES = sorted({*CUES_ZH, *CUES_EN.split("|")}, key=len)
 _CAPITAL = re.compile("(?<![A-Za-zÀ-ÿ])[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[- ]?(?:0[1-9]|1[0-2])[- ]?(?:0[1-9]|[12]\d|3[01])|[- ][1-9][- ]\d{1,2}|[- ]\d{1,2}[- ][1-9])(?!\d*-)(?:[- ]?(?:[01]\d|2[0-3]))?(?:[- ]?[0-5]\d){0,2}")
 _FAMILY = re.compile(f"[{_FIRSTS}]")
+_NUMERAL = re.compile(r"\d+")
 _BETWEEN = " \t:：=（(“\"'<>,，|"
 
 
@@ -212,7 +213,7 @@ def fold(text: str) -> str:
 
 
 def left_of(t: str, start: int) -> str:
-    """What stands before a place: the last word, or the last two Chinese characters; '' at a text's beginning,
+    """What stands before a place: the last word, its digits as one, or the last two Chinese characters; '' at a text's beginning,
     a line break as itself."""
     end = start
     while end > 0 and t[end - 1] in _BETWEEN:
@@ -227,7 +228,7 @@ def left_of(t: str, start: int) -> str:
     at = end - 1
     while at > 0 and end - at < 24 and t[at - 1].isascii() and t[at - 1].isalnum():
         at -= 1
-    return t[at:end].lower()
+    return _NUMERAL.sub("0", t[at:end].lower())
 
 
 def shaped(t: str, lex: Lexicon) -> list[Mention]:
