@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.session import cut
+from quillmark.session import materialise
 
 
 def running_totals(
@@ -35,7 +35,7 @@ def running_totals(
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.withColumn("__w", w)
     ranged = ranged.repartitionByRange(partitions, *keys, *order) if partitions else ranged.repartitionByRange(*keys, *order)
-    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    ranged = materialise(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("__part", *group).agg(F.sum("__w").alias("__sum"))
     # One row for each partition and group in it: at most partitions + groups rows, sorted by group.
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
