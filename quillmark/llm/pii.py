@@ -83,7 +83,7 @@ PHONE = re.compile(
     r"(?![0-9])"
 )
 ID_18 = re.compile(r"(?<![0-9A-Za-z])(?:\d[ -]?){17}[\dXx](?![0-9A-Za-z])")
-DIGITS = re.compile(r"(?<![0-9A-Za-z.:/-])\d(?:[ -]?\d){6,19}(?![0-9A-Za-z:/-])")
+DIGITS = re.compile(r"(?<![0-9A-Za-z.:/-])\d(?:[ -]?\d){6,14}(?![0-9A-Za-z:/-])")
 PASSPORT = re.compile(r"(?<![0-9A-Za-z])(?:[DEGPS]\s?\d{8}|E[A-HJ-NP-Z]\s?\d{7})(?![0-9A-Za-z])")
 STUDENT = re.compile(r"(?<![0-9A-Za-z.-])20 ?2 ?[1-4](?: ?\d){6}(?![0-9A-Za-z])(?!-\d)")
 STREET_ZH = re.compile(
@@ -179,12 +179,12 @@ UNSEEN = -3.0
 # Cheap signs without which the patterns can't match.
 _IS_WIDE = re.compile("[\uff02-\uff0b\uff0d-\uff19\uff20-\uff5e\u3000\u00a0]")  # commas, colons and the like alone need no folding
 _HAS_AT = re.compile(r"[\[({<#] ?[aA][tT] ?[\])}>#]")
-_HAS_DIGITS = re.compile(r"\d[\d -]{5,}\d")
+_HAS_DIGITS = re.compile(r"\d[\d() -]{5,}\d")
 _HAS_PHONE = re.compile(r"\d{3,5}[- )]{1,2}\d{3,4}|\d{10}|\+ ?\d")
 _HAS_STREET_ZH = re.compile(r"[路街巷弄同道里坊] ?\d")
 _HAS_STREET_EN = re.compile(r" (?:Lane|Road|Street|Way|Close|Avenue|Drive|Row|Court|Place|Hill|Square|Terrace|Crescent|Gardens|Walk|Grove|Mews|Rd|St|Ave)\b")
 _HAS_HOUSE = re.compile(r"\d[A-Za-z]?,? (?:[A-ZÀ-Þ][a-zß-ÿ']|rue |via |calle |de |am |an )")
-_HAS_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
+_HAS_PAIR = re.compile("[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]*(?: [A-Z]\\.)?,? [A-ZÀ-ÖØ-Þ]")
 _CUES = sorted({*CUES_ZH, *CUES_EN.split("|")}, key=len)
 _CAPITAL = re.compile("(?<![A-Za-zÀ-ÿ])[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[- ]?(?:0[1-9]|1[0-2])[- ]?(?:0[1-9]|[12]\d|3[01])|[- ][1-9][- ]\d{1,2}|[- ]\d{1,2}[- ][1-9])(?!\d*-)(?:[- ]?(?:[01]\d|2[0-3]))?(?:[- ]?[0-5]\d){0,2}")
@@ -256,7 +256,7 @@ def shaped(t: str, lex: Lexicon) -> list[Mention]:
         for p, prior in ((PASSPORT, 4.0), (STUDENT, 2.5)):
             for m in p.finditer(t):
                 add(*m.span(), "id_number", prior, m[0].replace(" ", ""), 1 if p is PASSPORT else None)
-    if _HAS_PHONE.search(t):
+    if (digits_in or "+" in t) and _HAS_PHONE.search(t):
         for m in PHONE.finditer(t):
             digits = re.sub(r"\D", "", m[0])
             if 10 <= len(digits) <= 15:
@@ -356,7 +356,7 @@ def name_candidates(t: str, lex: Lexicon, others: list[Mention], every: bool = F
                     placed.add((i, i + len(form)))
                     chinese(i, i + len(form), *two, " " in form)
                 i = t.find(form, i + 1)
-    for m in NAME_EN.finditer(t) if _HAS_CAPITAL.search(t) else ():
+    for m in NAME_EN.finditer(t) if _HAS_PAIR.search(t) else ():
         name = m[1]
         parts = re.split("[ ,]+", name)
         odds = [lex.word(parts[0]), lex.word(parts[-1])]
