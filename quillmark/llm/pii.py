@@ -170,8 +170,8 @@ class Lexicon:
     def word(self, word: str) -> float:
         return self._odds(self.words, "w" + word.lower(), UNSEEN)
 
-    def context(self, kind: str, left: str) -> float:
-        return self._odds(self.contexts, kind + " " + left, 0.0)
+    def context(self, kind: str, t: str, start: int) -> float:
+        return self._odds(self.contexts, kind + " " + left_of(t, start), 0.0) if self.contexts[0] else 0.0
 
 
 UNSEEN = -3.0
@@ -238,7 +238,7 @@ def shaped(t: str, lex: Lexicon) -> list[Mention]:
     w_form, w_context = lex.form
 
     def add(start: int, end: int, kind: str, prior: float, form: str, sure: int | None = None) -> None:
-        x = (prior, lex.context(kind, left_of(t, start)))
+        x = (prior, lex.context(kind, t, start))
         out.append(Mention(start, end, kind, w_form * x[0] + w_context * x[1], form, x, sure))
 
     if "@" in t or _HAS_AT.search(t):
@@ -311,7 +311,7 @@ def name_candidates(t: str, lex: Lexicon, others: list[Mention], every: bool = F
         place = j < n and t[j] in PLACE_ENDS
         cue = (i, j) in seeds
         beside = any(k in near for k in range(j, j + 4))
-        x = (1.0, sum(odds) / len(odds), min(odds), lex.surname.get(surname, rare), float(cue), float(beside), float(len(chars) == 2), float(spaced), lex.context("person_name", left_of(t, i)))
+        x = (1.0, sum(odds) / len(odds), min(odds), lex.surname.get(surname, rare), float(cue), float(beside), float(len(chars) == 2), float(spaced), lex.context("person_name", t, i))
         score = sum(w * f for w, f in zip(lex.zh, x, strict=True)) - (20.0 if place else 0.0)
         out.append(Mention(i, j, "person_name", score, surname + chars, x, None, cue))
 
@@ -364,7 +364,7 @@ def name_candidates(t: str, lex: Lexicon, others: list[Mention], every: bool = F
         if max(odds) <= rare and not (every or cue or name in forms):
             continue
         inside = any(o.start <= m.start(1) and m.end(1) <= o.end for o in others if o.kind == "address" and o.odds > 0)
-        x = (1.0, sum(odds) / 2, min(odds), float(cue), float(inside), lex.context("person_name", left_of(t, m.start())))
+        x = (1.0, sum(odds) / 2, min(odds), float(cue), float(inside), lex.context("person_name", t, m.start()))
         form = f"{parts[-1]} {parts[0]}".lower() if "," in name else f"{parts[0]} {parts[-1]}".lower()
         out.append(Mention(*m.span(1), "person_name", sum(w * f for w, f in zip(lex.en, x, strict=True)), form, x, None, cue))
     if every:
