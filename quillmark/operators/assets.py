@@ -24,6 +24,16 @@ def student_image(src: Column) -> Column:
     return F.coalesce(F.parse_url(src, F.lit("HOST")).rlike(r"^p\d+\.") & F.parse_url(src, F.lit("PATH")).contains("/star/"), F.lit(False))
 
 
+def origin_url(src: Column) -> Column:
+    """The address of the full picture: of a thumbnail /star3/750_1024/ID.* the origin with the same id as JPEG, of
+    an origin itself; '' for others."""
+    ident = F.regexp_extract(src, r"/([0-9a-fA-F]{24,64})(?:\.|$)", 1)
+    base = F.regexp_extract(src, r"^(https?://[^/]+)/", 1)
+    small = src.rlike(r"^https?://[^/]+/star3/750_1024/") & (ident != "")
+    full = src.rlike(r"^https?://[^/]+/(?:star3/origin/|star4/[^/]+/origin)") & (ident != "")
+    return F.coalesce(F.when(full, src).when(small, F.concat(base, F.lit("/star3/origin/"), ident, F.lit(".jpg"))), F.lit(""))
+
+
 # Parts of a file name that tell decoration.
 DECORATION = "avatar|head|icon|logo|button|btn|emoji|face|loading|blank|default"
 

@@ -202,7 +202,8 @@ def normalise_instants(
     book = book.where(F.col("fixed_ms").isNotNull() | F.col("by_year_ms").isNotNull())
     at = F.lit(None).cast("long") if collected is None else F.unix_millis(F.col(f"r.`{collected}`"))
     # Rows without a text match nothing; a hash of the row spreads them over the tasks of the join.
-    alone = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[keyed[c] for c in keyed.columns]), F.lit(1024)).cast("string"))
+    plain = [F.col(f"`{c}`") for c, t in keyed.dtypes if "map<" not in t and "variant" not in t]
+    alone = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*plain), F.lit(1024)).cast("string"))
     on = [
         F.col("r.__text") == F.col("d.stamp_text"),
         F.col("r.__zone") == F.col("d.stamp_zone"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.scalars import bare_text, half_up, hamming, ngrams
+from quillmark.session import materialise
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -24,6 +25,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(united > 0, shared / united).otherwise(0.0)
 
 
+def pairs_of_equals(members: DataFrame, cls: str, ident: str, block: int = 1000) -> DataFrame:
+    """(x, y) for each two members of a class, x < y.  A class of more than ``block`` members is cut into blocks by
+    the member's hash and blocks meet, so that a task writes the pairs of two blocks, however large the class."""
+    sizes = members.groupBy(cls).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__of"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    placed = members.join(sizes, cls).select(cls, F.col(ident).alias("__m"), "__of", F.pmod(F.xxhash64(ident), F.col("__of")).cast("int").alias("__k"))
+    left = placed.select(cls, F.col("__m").alias("x"), "__k", F.explode(F.sequence(F.col("__k"), F.col("__of") - 1)).alias("__j"))
+    right = placed.select(cls, F.col("__m").alias("y"), F.col("__k").alias("__j"), F.explode(F.sequence(F.lit(0), F.col("__k"))).alias("__k"))
+    met = left.join(right, [cls, "__k", "__j"]).where("x <> y and (__k < __j or x < y)")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def text_pairs(docs: DataFrame, ident: str, text: str, within: list[str], threshold: float, least: int = 20) -> DataFrame:
     """(a, b, text_similarity) with a < b for texts in the same ``within`` group whose sets of character
     3-grams reach ``threshold`` after rounding to four places; texts under ``least`` characters have none."""
@@ -34,7 +46,8 @@ def text_pairs(docs: DataFrame, ident: str, text: str, within: list[str], thresh
     sets = bare.select("id", *within, ngrams(F.col("t")).alias("grams")).withColumn("n", F.size("grams"))
     # Equal texts are one class; only classes meet, members come back at the end.
     keyed = sets.withColumn("cls", F.xxhash64(*within, F.array_sort("grams")))
-    classes = keyed.groupBy("cls").agg(*[F.first(c).alias(c) for c in (*within, "grams", "n")])
+    # Written once: its grams are read for the frequencies, the prefixes and twice for the comparison.
+    classes = materialise(keyed.groupBy("cls").agg(*[F.first(c).alias(c) for c in (*within, "grams", "n")]), "grams")
     long = classes.select("cls", *within, "n", F.explode("grams").alias("g"))
     freq = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     order = F.row_number().over(Window.partitionBy("cls").orderBy("df", "g"))
@@ -50,7 +63,7 @@ def text_pairs(docs: DataFrame, ident: str, text: str, within: list[str], thresh
     near = near.withColumn("text_similarity", half_up(jaccard(F.col("ga"), F.col("gb")), 4)).where(F.col("text_similarity") >= threshold)
     who = keyed.select("cls", "id")
     between = near.join(who.toDF("ca", "x"), "ca").join(who.toDF("cb", "y"), "cb").select("x", "y", "text_similarity")
-    same = who.toDF("cls", "x").join(who.toDF("cls", "y"), "cls").where("x < y").select("x", "y", F.lit(1.0).alias("text_similarity"))
+    same = pairs_of_equals(who, "cls", "id").select("x", "y", F.lit(1.0).alias("text_similarity"))
     return between.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "text_similarity")
 
 

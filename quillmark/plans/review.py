@@ -90,6 +90,17 @@ def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best
 
 
+def reviewed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs judged by the algorithm with the review of the same pair, in either order, where there is one; the
+    review's verdict is the applied one.  Of several the last in the alphabet counts."""
+    p = keyed_pairs(spark, sf_dir)
+    key = ["low_id", "high_id"]
+    own = p.where("verdict_source = 'algorithm'").groupBy(*key).agg(F.max("verdict").alias("verdict"))
+    review = p.where("verdict_source <> 'algorithm'").groupBy(*key).agg(F.max(F.struct("verdict", "verdict_source")).alias("r"))
+    j = own.join(review, key, "left")
+    return j.select(*key, "verdict", F.col("r.verdict_source").alias("reviewed_by"), F.coalesce("r.verdict", "verdict").alias("applied"))
+
+
 def evidence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by what they share: each exact id, else the pair itself; members, pairs and the strongest pair."""
     p = keyed_pairs(spark, sf_dir)
@@ -339,6 +350,7 @@ QUERIES = {
         review_selection,
         verdict_order,
         merged_evidence,
+        reviewed_pairs,
         evidence_keys,
         candidate_pairs,
         overall_pairs,
@@ -409,6 +421,9 @@ select *, row_number() over (order by verdict_rank, evidence desc, sift desc, lo
   coalesce(bool_or(verdict_source = 'manual'), false) by_hand,
   array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list(string_split(coalesce(shared_evidence, ''), ';'))), lambda x: trim(x)), lambda x: x <> ''))), '; ') shared
 from p group by 1, 2""",
+    "reviewed_pairs": f"""with {_P}, own as (select low_id, high_id, max(verdict) verdict from p where verdict_source = 'algorithm' group by 1, 2),
+rv as (select low_id, high_id, verdict, verdict_source from p where verdict_source <> 'algorithm' qualify row_number() over (partition by low_id, high_id order by verdict desc, verdict_source desc) = 1)
+select own.low_id, own.high_id, own.verdict, rv.verdict_source reviewed_by, coalesce(rv.verdict, own.verdict) applied from own left join rv on rv.low_id = own.low_id and rv.high_id = own.high_id""",
     "evidence_keys": f"""with {_P}, e as (select *, list_filter(list_transform(string_split_regex(coalesce(exact_shared, ''), '[;,]'), lambda x: trim(x)), lambda x: x <> '') x from f),
 k as (select low_id, high_id, points, unnest(case when len(x) > 0 then list_transform(x, lambda y: 'exact:' || y) else ['pair:' || low_id || '|' || high_id] end) as "key" from e),
 m as (select "key", low_id member from k union select "key", high_id from k), c as (select "key", count(*) members from m group by 1)

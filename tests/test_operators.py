@@ -7,11 +7,11 @@ import random
 from pyspark.sql import functions as F
 
 from quillmark.functions import extract, scalars
-from quillmark.operators import rows
+from quillmark.operators import assets, rows
 from quillmark.operators.common import common_values, shared_value_pairs, without_common
 from quillmark.operators.components import components
 from quillmark.operators.positions import running_totals
-from quillmark.operators.similarity import average_hash, best_match_mean, code_pairs, containment_pairs, ratio_matches, text_pairs
+from quillmark.operators.similarity import average_hash, best_match_mean, code_pairs, containment_pairs, pairs_of_equals, ratio_matches, text_pairs
 
 
 def one(spark, value, column):
@@ -152,6 +152,28 @@ def test_containment_and_average_hash(spark):
     assert [r["h"] for r in v] == ["0" * 32 + "1" * 32, None]
 
 
+def test_pairs_of_equals(spark):
+    data = [("hot", i) for i in range(40)] + [("two", 50), ("two", 51), ("one", 60)]
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40)} | {(50, 51)}
+    for block in (1000, 7, 1):
+        got = [tuple(r) for r in pairs_of_equals(spark.createDataFrame(data, "c string, i int"), "c", "i", block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_origin_url(spark):
+    x, i = F.col("x"), "5e48e3a92e5152aa6e8a9e21b9ac25a2"
+    assert one(spark, f"https://p.files.example/star3/750_1024/{i}.png", assets.origin_url(x)) == f"https://p.files.example/star3/origin/{i}.jpg"
+    for kept in (f"https://p.files.example/star3/origin/{i}.png", f"https://p.files.example/star4/abc/origin/{i}.png"):
+        assert one(spark, kept, assets.origin_url(x)) == kept
+    assert [one(spark, v, assets.origin_url(x)) for v in (f"https://p.files.example/star/{i}.png", "no url", None)] == ["", "", ""]
+
+
+def test_answer_images(spark):
+    x, good = F.col("x"), F.lit(True)
+    for name, kept in (("silicon.png", True), ("a/icon.png", False), ("my_logo_2.png", False), ("heading.png", True), ("btn", False), (None, True)):
+        assert one(spark, name, assets.answer_image(good, F.lit(9000), x)) is kept, name
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 50), (60, 60), (None, 3)], "a int, b int")
     got = {r["id"]: r["component"] for r in components(e, "a", "b").collect()}
