@@ -78,7 +78,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong or moderate agreement of features against the stored verdicts, counted."""
+    """Strong or moderate agreement of features against the stored verdicts, counted.  The thresholds are fixed values."""
     z = lambda c: F.coalesce(c, F.lit(0))
     s = lambda n, r, k: (z("sift_inliers") >= n) & (z("sift_ratio") >= r) & (z("sift_coverage") >= k)
     a = lambda n, r, k: (z("akaze_inliers") >= n) & (z("akaze_ratio") >= r) & (z("akaze_coverage") >= k)
@@ -88,6 +88,8 @@ def verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = (
         F.when(F.coalesce(F.col("exact_object") | F.col("exact_file"), F.lit(False)), "exact")
         .when((h >= 0.97) & s(500, 0.35, 0.45) & a(250, 0.18, 0.40), "image")
+        .when(s(1500, 0.40, 0.75) & a(1500, 0.60, 0.50) & (ev >= 0.65), "local")
+        .when(s(500, 0.24, 0.45) & a(400, 0.24, 0.42) & (ev >= 0.50), "region")
         .when(s(500, 0.35, 0.45) & (ev >= 0.35), "features")
         .when(strong & (ev >= 0.95), "evidence")
         .when(strong | (moderate & (ev >= 0.65)) | (ev >= 0.8), "suspected")
@@ -273,6 +275,8 @@ y as (select *, (si >= 300 and sr >= 0.18 and sc >= 0.45) or (ai >= 250 and ar >
   (si >= 150 and sr >= 0.08) or (ai >= 120 and ar >= 0.08) moderate from x)
 select case when exact then 'exact'
   when h >= 0.97 and si >= 500 and sr >= 0.35 and sc >= 0.45 and ai >= 250 and ar >= 0.18 and ac >= 0.40 then 'image'
+  when si >= 1500 and sr >= 0.40 and sc >= 0.75 and ai >= 1500 and ar >= 0.60 and ac >= 0.50 and ev >= 0.65 then 'local'
+  when si >= 500 and sr >= 0.24 and sc >= 0.45 and ai >= 400 and ar >= 0.24 and ac >= 0.42 and ev >= 0.50 then 'region'
   when si >= 500 and sr >= 0.35 and sc >= 0.45 and ev >= 0.35 then 'features'
   when strong and ev >= 0.95 then 'evidence'
   when strong or (moderate and ev >= 0.65) or ev >= 0.8 then 'suspected' else 'none' end ruled, verdict, count(*) n from y group by 1, 2""",
@@ -330,11 +334,19 @@ from r a join r b on a.f = b.f and a.k = 1 and b.k = 2 where a.d / b.d < 0.95"""
 
 _QUOTED = [p.replace("'", "''") for p in REFERENCE_EVIDENCE]
 _WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-_ALL_EVIDENCE = rf"""v as (select * from vision where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by vision_id desc) = 1),
-s as (select * from submissions where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1),
-t as (select coalesce(v.work_answer_id, s.work_answer_id) w,
-  lower(regexp_replace(concat_ws(chr(10), extracted_text, summary, review_comment, answer_text), '{_WS}+', ' ', 'g')) t from v full join s on v.work_answer_id = s.work_answer_id),
-k as (select distinct w, token from ({" union all ".join(f"select w, unnest(regexp_extract_all(t, '{p}')) token from t" for p in _QUOTED)}))"""
+
+
+def _evidence(texts: str, n: str = "") -> str:
+    """The tables v, s, t and k (with ``n`` behind their names) of the evidence tokens in the given texts."""
+    found = " union all ".join(f"select w, unnest(regexp_extract_all(t, '{p}')) token from t{n}" for p in _QUOTED)
+    return rf"""v{n} as (select * from vision where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by vision_id desc) = 1),
+    s{n} as (select * from submissions where work_answer_id is not null qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1),
+    t{n} as (select coalesce(v{n}.work_answer_id, s{n}.work_answer_id) w,
+      lower(regexp_replace(concat_ws(chr(10), {texts}), '{_WS}+', ' ', 'g')) t from v{n} full join s{n} on v{n}.work_answer_id = s{n}.work_answer_id),
+    k{n} as (select distinct w, token from ({found}))"""
+
+
+_ALL_EVIDENCE = _evidence("extracted_text, summary, review_comment, answer_text")
 
 SQL |= {
     "evidence_frequency_whole": f"with {_ALL_EVIDENCE} select token, count(*) records from k group by 1 having count(*) >= 2",

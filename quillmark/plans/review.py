@@ -13,9 +13,10 @@ from quillmark.operators.common import without_common
 from quillmark.operators.instants import normalise_instants
 from quillmark.operators.positions import running_totals
 from quillmark.operators.similarity import best_of_each, jaccard, rare_containment_pairs
+from quillmark.plans import assets as asset_plans
 from quillmark.plans import pairs as pair_plans
 from quillmark.plans.assets import specific_assets
-from quillmark.plans.rankings import latest_drafts
+from quillmark.plans.rankings import _LATEST, latest_drafts
 from quillmark.session import materialise
 from quillmark.sources.tables import table
 
@@ -337,8 +338,7 @@ def rubric_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def student_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Students of the drafts in the order of Chinese collation by class, name and number."""
     d = table(spark, sf_dir, "drafts").select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("class_name", "student_name", "student_no")]).distinct()
-    zh = lambda c: F.collate(F.col(c), "zh_Hans_CHN")
-    keys = [F.collation_key(zh(c)) if hasattr(F, "collation_key") else zh(c) for c in ("class_name", "student_name")]
+    keys = [F.collate(F.col(c), "zh_Hans_CHN") for c in ("class_name", "student_name")]
     placed = running_totals(d.withColumn("one", F.lit(1)), ["one"], [*keys, "student_no"], out="place", total=None)
     return placed.drop("one")
 
@@ -384,10 +384,7 @@ _RARE = f"""{pair_plans._ALL_EVIDENCE}, nt as (select count(*) n from t),
 common as (select token from k, nt group by token, nt.n having count(*) >= 5 and count(*) >= 0.2 * nt.n),
 r as (select *, count(*) over (partition by w) size from k where token not in (select token from common))"""
 
-from quillmark.plans import assets as _assets  # noqa: E402
-from quillmark.plans.rankings import _LATEST  # noqa: E402
-
-_OVERALL = rf"""{_P}, {_RARE}, {_assets._SPECIFIC.replace("n as (", "na as (").replace(", n where", ", na where").replace("n.n", "na.n").replace("x as (", "xa as (").replace("from xa", "from xa").replace("from x,", "from xa,").replace("from x ", "from xa ").replace("select w from x ", "select w from xa ")},
+_OVERALL = rf"""{_P}, {_RARE}, {asset_plans._SPECIFIC},
 {_LAST},
 tx as (select work_answer_id w, lower(regexp_replace(coalesce(answer_text, ''), '{pair_plans._WS}|[，。；：,.!?！？、]', '', 'g')) t from last),
 g as (select w, case when length(t) >= 20 then list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) end grams from tx),
@@ -443,7 +440,7 @@ b as (select me, sd.other, overall, score from sd join gr on gr.other = sd.other
 select me work_answer_id, other graded, overall, score from b where overall >= 0.95""",
     "raw_rank": f"""with {_LATEST}, per as (select cls, student, sum(score::decimal(12, 6)) exact from latest group by 1, 2)
 select cls, student, exact::double total, rank() over (partition by cls order by exact desc)::int place from per""",
-    "first_real_image": f"""with x as (select *, {_assets._OID} oid from assets where ok), n as (select count(distinct work_answer_id) n from x),
+    "first_real_image": f"""with x as (select *, {asset_plans._OID} oid from assets where ok), n as (select count(distinct work_answer_id) n from x),
 common as (select oid from x, n where oid is not null group by oid, n.n having count(distinct work_answer_id) >= 5 and count(distinct work_answer_id) >= 0.2 * n.n),
 r as (select * from x where not coalesce(oid in (select oid from common), false))
 select work_answer_id, arg_min(coalesce(file_name, ''), (coalesce(question_index, 0), coalesce(image_index, 0), coalesce(file_name, ''))) file_name,
@@ -455,7 +452,7 @@ select work_answer_id, vision_id, score is not null and (used = fs or used = fs[
     "rescoring_subset": f"""with {_LAST}, s as (select work_answer_id, coalesce(regexp_matches(status, '待批阅|重做待批阅|批阅') and not regexp_matches(status, '已完成|已批|查看'), false) pending,
   coalesce(try_cast(trim(existing_score) as double), 0) >= 60 scored from submissions qualify row_number() over (partition by work_answer_id order by submit_row desc) = 1)
 select * from s where pending or scored""",
-    "evidence_variants": f"""with {pair_plans._ALL_EVIDENCE}, {pair_plans._ALL_EVIDENCE.replace("v as (", "v2 as (").replace("s as (", "s2 as (", 1).replace("t as (", "t2 as (").replace("k as (", "k2 as (").replace("from t)", "from t2)").replace("token from t", "token from t2").replace("t22", "t2").replace("extracted_text, summary, review_comment, answer_text", "extracted_text, answer_text")},
+    "evidence_variants": f"""with {pair_plans._ALL_EVIDENCE}, {pair_plans._evidence("extracted_text, answer_text", "2")},
 c as (select w, count(*) n from k group by 1), c2 as (select w, count(*) n from k2 group by 1)
 select t.w work_answer_id, coalesce(c.n, 0) in_all, coalesce(c2.n, 0) observed from t left join c on c.w = t.w left join c2 on c2.w = t.w""",
     "metric_texts": r"""select case when evidence_similarity is null or isnan(evidence_similarity) then '' else regexp_replace(regexp_replace(printf('%.4f', evidence_similarity), '0+$', ''), '\.$', '') end evidence,
